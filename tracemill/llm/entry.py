@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracemill.llm.byte_bpe import op10_byte_bpe
+from tracemill.llm.interpolation import op2_lm_scoring
 from tracemill.llm.packing import op6_best_fit_packing
 from tracemill.llm.simhash import op4_simhash_fingerprint
 from tracemill.llm.simhash_dedup import op7_simhash_dedup
@@ -10,6 +11,7 @@ from tracemill.llm.simhash_dedup import op7_simhash_dedup
 
 def queries():
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op4_simhash_fingerprint": op4_simhash_fingerprint,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_simhash_dedup": op7_simhash_dedup,
