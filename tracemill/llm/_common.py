@@ -104,6 +104,18 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[
     return run
 
 
+def batches_with_rows(run: Callable) -> Callable:
+    """run, without the empty batches."""
+    return lambda batches: run(b for b in batches if b.num_rows)
+
+
+def arrow_types(spark: SparkSession, ddl: str) -> list[pa.Field]:
+    """The Arrow fields of a schema in Spark's notation."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return list(to_arrow_schema(spark.createDataFrame([], ddl).schema))
+
+
 def hex64(column):
     """A long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

@@ -7,6 +7,7 @@ from tracemill.llm.interpolation import op2_lm_scoring
 from tracemill.llm.packing import op6_best_fit_packing
 from tracemill.llm.simhash import op4_simhash_fingerprint
 from tracemill.llm.simhash_dedup import op7_simhash_dedup
+from tracemill.llm.suffix_dedup import op8_suffix_dedup
 
 
 def queries():
@@ -15,6 +16,7 @@ def queries():
         "op4_simhash_fingerprint": op4_simhash_fingerprint,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_simhash_dedup": op7_simhash_dedup,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
