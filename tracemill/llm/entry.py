@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 from tracemill.llm.byte_bpe import op10_byte_bpe
+from tracemill.llm.license_scan import op1_license_scan
 from tracemill.llm.interpolation import op2_lm_scoring
+from tracemill.llm.chat_format import op9_chat_format
 from tracemill.llm.packing import op6_best_fit_packing
+from tracemill.llm.quality import op3_quality_classifier
 from tracemill.llm.simhash import op4_simhash_fingerprint
 from tracemill.llm.simhash_dedup import op7_simhash_dedup
 from tracemill.llm.suffix_dedup import op8_suffix_dedup
+from tracemill.llm.topk_hamming import OP5_SQL, op5_exact_topk
 
 
 def queries():
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_lm_scoring": op2_lm_scoring,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_simhash_fingerprint": op4_simhash_fingerprint,
+        "op5_exact_topk": op5_exact_topk,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_chat_format": op9_chat_format,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op5_exact_topk": OP5_SQL}
