@@ -107,9 +107,10 @@ def _end(anchor: int, place="place"):
     return _position(place) + F.lit(anchor) + F.col(place).bitwiseAND(F.lit(4095))
 
 
-def _with_rows(docs: DataFrame) -> DataFrame:
-    """The documents as (row, doc_id, text): row is doc_id where that tells them apart."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _with_rows(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """The documents as (row, doc_id, text, carried): row is doc_id where that tells them apart."""
+    carried = F.col(carry).cast("string") if carry else F.lit(None).cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
     unclear = base.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     return base.withColumn("row", F.xxhash64("doc_id", "text") if unclear else F.col("doc_id"))
 
@@ -268,13 +269,13 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, use: Callable[[int | None, bytes, list[tuple[int, int]]], tuple], schema: str, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, use: Callable[[int | None, bytes, list[tuple[int, int]]], tuple], schema: str, length: int = LENGTH, anchor: int = ANCHOR, carry: str | None = None) -> DataFrame:
     """use(doc_id, text as bytes, merged spans) for each row of docs; its results are rows of schema.
 
-    Only rows that have spans meet them in a shuffled join; the others are read and passed on.
+    carry: a string column that use gets as well. Only rows that have spans meet them in a shuffled join; the others are read and passed on.
     """
     tables = _common.Tables(docs.sparkSession, "repeats")
-    rows = _with_rows(docs)
+    rows = _with_rows(docs, carry)
     spans = repeated_spans(rows.select("row", "text"), tables, length, anchor)
     spans = tables.keep(spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
     types = _common.arrow_types(docs.sparkSession, schema)
@@ -282,14 +283,14 @@ def remove_repeats(docs: DataFrame, use: Callable[[int | None, bytes, list[tuple
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             data, at = _common.utf8_of(batch.column(1))
-            listed = batch.column(2)
+            listed, more = batch.column(2), ([x] for x in batch.column(3).to_pylist()) if carry else None
             starts = listed.offsets.to_numpy()
             ends, begins = listed.flatten().field("end").to_numpy(), listed.flatten().field("begin").to_numpy()
             base = int(starts[0]) if len(starts) else 0
             out = []
             for n, doc_id in enumerate(batch.column(0).to_pylist()):
                 a, b = int(starts[n]) - base, int(starts[n + 1]) - base
-                out.append(use(doc_id, bytes(data[at[n] : at[n + 1]]), merged(zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True))))
+                out.append(use(doc_id, bytes(data[at[n] : at[n + 1]]), merged(zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True)), *(next(more) if carry else ())))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, types, strict=True)], [t.name for t in types])
 
@@ -297,7 +298,8 @@ def remove_repeats(docs: DataFrame, use: Callable[[int | None, bytes, list[tuple
     keys = spans.select("row")
     left = rows.join(F.broadcast(keys) if affected <= BROADCAST_ROWS else keys, "row", "left_anti")
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    both = left.select("doc_id", "text", none.alias("spans")).unionByName(_pick(rows, keys, affected).join(spans, "row").select("doc_id", "text", "spans"))
+    names = ["doc_id", "text", "spans", "carried"] if carry else ["doc_id", "text", "spans"]
+    both = left.withColumn("spans", none).select(names).unionByName(_pick(rows, keys, affected).join(spans, "row").select(names))
     return both.mapInArrow(_common.batches_with_rows(run), schema)
 
 
