@@ -12,6 +12,7 @@ repeated rows are packed each; other columns are ignored.
 from __future__ import annotations
 
 import array
+import re
 import sys
 import zlib
 from collections.abc import Iterable
@@ -24,13 +25,23 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracemill.llm import _common
+from tracemill.llm.byte_bpe import byte_table
 
 CAPACITY, END_ID = 4096, 1
 OPEN_BINS, PIECES_A_TASK = 2048, 1 << 16
 #: Longest word that is remembered, and how many words a worker remembers.
 MEMO_CHARS, MEMO_WORDS = 48, 400_000
+#: Words of printable ASCII and Latin-1 letters, without an apostrophe: for them lower-casing is one to one, they are
+#: in composed form, and the tokenizer's pattern cuts them into runs of letters, single digits and runs of the rest.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-_SPACE = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
+
+def _spaced(text: str) -> str:
+    for c in "\n\t\r\v\f":
+        if c in text:
+            text = text.replace(c, " ")
+    return text
 
 
 class WordBPE:
@@ -38,22 +49,45 @@ class WordBPE:
 
     White space separates words for the tokenizer's pattern and its normaliser, so a text's ids are those of its words
     one after another. Only ASCII white space is cut here; a word may hold other white space and is encoded as it is.
+    Plain words skip the library's normaliser and pattern: its merges are applied to their runs, which are remembered too.
     """
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = self.model.model
         self.memo: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
+        self.table = byte_table()
+
+    def _run(self, run: str) -> bytes:
+        spelt = run if run.isascii() else "".join([self.table[b] for b in run.encode()])
+        ids = array.array("I", [t.id for t in self.merges.tokenize(spelt)]).tobytes()
+        if len(run) <= MEMO_CHARS:
+            self.runs[run] = ids
+        return ids
+
+    def _words(self, new: list[str]):
+        """(word, ids) for each of the words."""
+        runs, other = self.runs, []
+        if len(runs) > MEMO_WORDS:
+            runs.clear()
+        for word in new:
+            if _PLAIN.fullmatch(word):
+                yield word, b"".join([runs.get(r) or self._run(r) for r in _RUNS.findall(word.lower())])
+            else:
+                other.append(word)
+        for word, got in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            yield word, array.array("I", got.ids).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > MEMO_WORDS:
             self.memo = {"": b""}
-        words = [x.translate(_SPACE).split(" ") if not x.isascii() or "\n" in x or "\t" in x or "\r" in x or "\v" in x or "\f" in x else x.split(" ") for x in texts]
+        words = [_spaced(x).split(" ") for x in texts]
         memo, rare = self.memo, {}
-        new = list(set().union(*words).difference(memo))
-        for word, got in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (memo if len(word) <= MEMO_CHARS else rare)[word] = np.asarray(got.ids, "<u4").tobytes()
+        for word, ids in self._words(list(set().union(*words).difference(memo))):
+            (memo if len(word) <= MEMO_CHARS else rare)[word] = ids
         if rare:
             memo = {**rare, **memo}
         return [b"".join(map(memo.__getitem__, x)) for x in words]
@@ -167,4 +201,4 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-assert sys.byteorder == "little"
+assert sys.byteorder == "little" and array.array("I").itemsize == 4
