@@ -244,14 +244,12 @@ def _join_parts(model: Model, plan: list) -> tuple[dict[int, list[float]], dict[
     chain: list[tuple[int, np.ndarray]] = []  # parts of one conversation with the scores of their last states
 
     def close():
-        """The chain's last state is its best; each earlier one is found through the next part's table."""
-        for k in range(len(chain) - 1, -1, -1):
+        """The chain's last state is its best, which its part finds too; each earlier one leads to the next best."""
+        after = int(chain[-1][1].argmax())
+        for k in range(len(chain) - 2, -1, -1):
             part, best = chain[k]
-            if k == len(chain) - 1:
-                leaving[part] = int(best.argmax())
-            else:
-                table = np.array(heads[chain[k + 1][0]].through).reshape(STATES, STATES)
-                leaving[part] = int((best + table[:, leaving[chain[k + 1][0]]]).argmax())
+            table = np.array(heads[chain[k + 1][0]].through).reshape(STATES, STATES)
+            after = leaving[part] = int((best + table[:, after]).argmax())
 
     for here, part in enumerate(order):
         joined = here > 0 and bool(chain) and tails[order[here - 1]].conv_id == heads[part].conv_id

@@ -42,7 +42,7 @@ def weight(term: Column) -> Column:
 def votes(df: DataFrame, keys: list[str], text: str, bits: int = BITS) -> DataFrame:
     """keys, fp: an array of longs, 64 bits each. Rows of one key must be in one partition, or a shuffle brings them there."""
     hashed = df.select(*keys, F.explode_outer(terms(F.col(text))).alias("term"))
-    hashed = hashed.select(*keys, F.coalesce(weight(F.col("term")), F.lit(0)).cast("long").alias("w"), *(F.xxhash64(F.col("term"), F.lit(k)).alias(f"h{k}") for k in range(bits // 64)))
+    hashed = hashed.select(*keys, F.when(F.col("term").isNull(), F.lit(0).cast("long")).otherwise(weight(F.col("term"))).alias("w"), *(F.xxhash64(F.col("term"), F.lit(k)).alias(f"h{k}") for k in range(bits // 64)))
     lanes = [F.sum(F.shiftrightunsigned(f"h{k}", i).bitwiseAND(F.lit(1 | 1 << 32)) * F.col("w")).alias(f"v{k}_{i}") for k in range(bits // 64) for i in range(32)]
     summed = hashed.groupBy(*keys).agg(F.sum("w").alias("all"), *lanes)
 
@@ -116,7 +116,7 @@ def _stretch(rows: DataFrame, chars: int) -> Column:
         middle = (low + high) // 2
         return F.when(F.col("doc_id") < F.lit(cuts[middle]), pick(low, middle)).otherwise(pick(middle, high))
 
-    return F.coalesce(pick(0, max(1, len(cuts) - 1)).cast("long"), F.lit(-1).cast("long"))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(pick(0, max(1, len(cuts) - 1)).cast("long"))
 
 
 def edited(text: Column, after: Column) -> Column:
