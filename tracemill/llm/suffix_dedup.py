@@ -10,8 +10,8 @@ equals; what occurs once is dropped.
   some megabytes at a time, through ``_bwt``: breadth-first backward extension on the Burrows-Wheeler transform,
   stopping at ``length``.
 * An anchor with more than ``ZONES`` distinct zones is refined first: half of the strings share more bytes to the left of
-  the anchor, half more to the right; each zone goes to two narrower groups, and what is alone there is dropped. After
-  eight rounds a group is one string.
+  the anchor, half more to the right; each zone goes to two narrower groups. What is alone there is dropped, what is
+  equal there is settled. After eight rounds a group is one string.
 
 Rows are known by doc_id where it is unique and not null, else by a hash of id and text. Defined results: a null or
 empty text has no bytes and no spans; repeated rows are documents of their own (each of them is a copy of the other);
@@ -183,33 +183,32 @@ def _compare(zones: DataFrame, length: int, total: int) -> DataFrame:
 def _refine(zones: DataFrame, length: int, slack: int, tables: _common.Tables) -> tuple[DataFrame, list[DataFrame]]:
     """Zones of anchors that have too many: (groups that are small enough to compare, tables of repeated strings).
 
-    A string of a zone is named by the bytes that it has before the anchor. Those with low … high bytes share a core; a
-    zone that is cut short by its text has the core if it has any of them.
+    A string of a zone is named by the bytes that it has before the anchor; those with a … b bytes share a core, and span
+    a stretch. Zones that differ in the core share none of them and part. Zones that are equal in the whole stretch share
+    all of them: they are settled, and one of them stays as a partner for zones that are not. A zone that is cut short by
+    its text has the core if it has any of the strings.
     """
     names = ["grp", "row", "begin", "single", "before", "body", "low", "high"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-    schema = "grp long, row long, begin long, single boolean, before int, body binary, low int, high int"
-
-    def split(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = []
-        for grp, row, begin, single, before, body, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            middle = (low + high) // 2
-            for a, b in ((low, middle), (middle + 1, high)):
-                if 0 <= before - a and before - b + length <= len(body):
-                    core = hashlib.blake2b(b"%d %d %d " % (grp, a, b) + body[before - a : before - b + length], digest_size=8).digest()
-                    out.append((int.from_bytes(core, "little", signed=True), row, begin, single, before, body, a, b))
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names) if out else None
-
-    current = zones.withColumns({"low": F.lit(0), "high": F.lit(slack)}).select(names)
-    small, spans = [], []
+    current, small, spans = zones.withColumns({"low": F.lit(0), "high": F.lit(slack)}).select(names), [], []
+    size, before = F.octet_length("body"), F.col("before")
     while True:
-        sized = current.mapInArrow(_common.per_batch(split), schema).withColumn("n", F.count("*").over(W.partitionBy("grp")))
-        sized = tables.keep(sized.where("n > 1"))
-        at = F.col("begin") + F.col("before") - F.col("low")
-        spans.append(sized.where("low = high AND single").select("row", at.alias("begin"), (at + length).alias("end")))
-        small.append(sized.where(f"low < high AND n <= {ZONES}").select(*names[:-2]))
-        current = sized.where(f"low < high AND n > {ZONES}").select(names)
+        halves = []
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        for a, b in ((F.col("low"), middle), (middle + 1, F.col("high"))):
+            core = F.substring("body", before - a + 1, F.lit(length) - b + a)
+            begin, end = F.greatest(F.lit(0), before - b), F.least(size, before - a + length)
+            half = current.where((before >= a) & (before - b + length <= size))
+            halves.append(half.select(F.xxhash64("grp", a, b, core).alias("grp"), "row", (F.col("begin") + begin).alias("begin"), "single", (before - begin).alias("before"), F.substring("body", begin + 1, end - begin).alias("body"), a.alias("low"), b.alias("high")))
+        same = W.partitionBy("grp", "whole")
+        sized = _union(halves).withColumn("whole", F.xxhash64("body", "before"))
+        sized = sized.withColumn("first", F.row_number().over(same.orderBy("row", "begin")) == 1).withColumn("equal", F.count("*").over(same))
+        whole_group = W.partitionBy("grp")
+        sized = sized.withColumns({"kinds": F.sum(F.col("first").cast("int")).over(whole_group), "fewest": F.min("equal").over(whole_group)})
+        sized = tables.keep(sized.where("equal > 1 OR kinds > 1").select(*names, "first", "equal", "kinds", "fewest"))
+        spans.append(sized.where(F.expr("equal > 1 AND single") & (size >= length)).select("row", "begin", (F.col("begin") + size).alias("end")))
+        ahead = sized.where("first AND kinds > 1 AND fewest = 1").withColumn("single", F.expr("single AND equal = 1"))
+        small.append(ahead.where(f"kinds <= {ZONES}").select(*names[:-2]))
+        current = ahead.where(f"kinds > {ZONES}").select(names)
         if not current.limit(1).count():
             return _union(small), spans
 
