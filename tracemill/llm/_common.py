@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +18,20 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = "2000", "16m"
 
 
+def lean() -> None:
+    """Give freed arrays back to the system at once: a Python worker serves one stage after another and must not keep
+    what the largest of them needed. Arrow allocates like everything else; blocks of a megabyte are mapped singly."""
+    if sys.platform == "linux":
+        pa.set_memory_pool(pa.system_memory_pool())
+        mmap_threshold, trim_threshold = -3, -1  # of mallopt
+        libc = ctypes.CDLL(None)
+        libc.mallopt(mmap_threshold, 1 << 20)
+        libc.mallopt(trim_threshold, 4 << 20)
+
+
+lean()  # each worker imports this module
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Bound what a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -14,7 +14,7 @@ U = np.uint64
 _BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 @lru_cache(maxsize=1)

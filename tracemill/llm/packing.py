@@ -30,7 +30,7 @@ from tracemill.llm.byte_bpe import byte_table
 CAPACITY, END_ID = 4096, 1
 OPEN_BINS, PIECES_A_TASK = 2048, 1 << 16
 #: Longest word that is remembered, and how many words a worker remembers.
-MEMO_CHARS, MEMO_WORDS = 48, 400_000
+MEMO_CHARS, MEMO_WORDS = 48, 250_000
 #: Words of printable ASCII and Latin-1 letters, without an apostrophe: for them lower-casing is one to one, they are
 #: in composed form, and the tokenizer's pattern cuts them into runs of letters, single digits and runs of the rest.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
@@ -70,7 +70,7 @@ class WordBPE:
     def _words(self, new: list[str]):
         """(word, ids) for each of the words."""
         runs, other = self.runs, []
-        if len(runs) > MEMO_WORDS:
+        if len(runs) > MEMO_WORDS // 2:
             runs.clear()
         for word in new:
             if _PLAIN.fullmatch(word):

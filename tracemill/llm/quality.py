@@ -23,6 +23,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from tracemill.llm import _common
 from tracemill.llm import _words as words
 
 #: Labelled documents that the models are fitted on, hashed words, and how many of them a model keeps.
-SAMPLE, HASHED, KEPT = 20_000, 1 << 17, 384
+SAMPLE, HASHED, KEPT = 12_000, 1 << 17, 384
 THRESHOLD, STRENGTH = 0.5, (2.0, 10_000.0)
 SHAPE = ["log_bytes", "letters", "capitals", "digits", "signs", "high_bytes", "line_ends", "word_length", "distinct_words", "sign_runs"]
 
@@ -95,7 +96,7 @@ def fit(rows: np.ndarray, hashed: np.ndarray, shape: np.ndarray, label: np.ndarr
     chosen = np.sort(np.argsort(-score, kind="stable")[:kept])
     chosen = chosen[score[chosen] > 10.0]
     mean, scale = shape.mean(axis=0), np.maximum(shape.std(axis=0), 1e-6)
-    x = np.zeros((n, 1 + shape.shape[1] + len(chosen)))
+    x = np.zeros((n, 1 + shape.shape[1] + len(chosen)), np.float32)
     x[:, 0] = 1
     x[:, 1 : 1 + shape.shape[1]] = (shape - mean) / scale
     if len(chosen):
@@ -108,7 +109,11 @@ def fit(rows: np.ndarray, hashed: np.ndarray, shape: np.ndarray, label: np.ndarr
     penalty[0] = 1e-3
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - label) + penalty * w)
+        curve = np.diag(penalty)
+        for at in range(0, n, 2048):  # a slice at a time bounds the memory
+            part = x[at : at + 2048].astype(np.float64)
+            curve += (part * (p * (1 - p) + 1e-6)[at : at + 2048, None]).T @ part
+        step = np.linalg.solve(curve, x.T @ (p - label) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-4:
             break
@@ -133,9 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     if not found.num_rows:
         return None
     found = found.sort_by("doc_id")
-    sets = [np.frombuffer(x, "<u4") for x in found.column("words").to_pylist()]
-    hashed = np.concatenate(sets).astype(np.int64)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    hashed = np.frombuffer(b"".join(found.column("words").to_pylist()), "<i4")
+    rows = np.repeat(np.arange(found.num_rows, dtype=np.int32), pc.binary_length(found.column("words")).to_numpy() // 4)
     shape = np.array(found.column("shape").to_pylist())
     return tuple(fit(rows, hashed, shape, (found.column(c).to_numpy() > 0).astype(float)) for c in ("quality", "toxic"))
 
