@@ -249,6 +249,26 @@ def test_similar_texts(docs, rows, no_docs, twins):
     assert similar_texts.deduplicate(no_docs).count() == 0 and sorted(r.doc_id for r in similar_texts.deduplicate(twins).collect())[0] == 5
 
 
+def test_similar_texts_of_every_kind_of_edit(spark):
+    """Cut short, extended, a block replaced or moved away: at 0.8 or a little more, all pairs are found."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(4000)]
+    weights = [1 / (k + 1) for k in range(len(vocabulary))]
+    rows = []
+    for n in range(160):
+        size = (80, 120, 300, 1000)[n // 4 % 4]
+        w = rng.choices(vocabulary, weights, k=size)
+        other = rng.choices(vocabulary, weights, k=size)
+        at = rng.randrange(size // 2)
+        gone = size // 10 - 4  # a replaced block of b words costs b + 4 shingles of either text
+        copy = (w[: size * 83 // 100], w + other[: size * 22 // 100], w[:at] + other[:gone] + w[at + gone :], w[size // 6 :])[n % 4]
+        a, b = shingle_set(" ".join(w)), shingle_set(" ".join(copy))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.92
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(copy))]
+    kept = {r.doc_id for r in similar_texts.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * n for n in range(160)}
+
+
 def test_similar_links_across_blocks():
     rng = random.Random(6)
     sets = [np.unique(np.array([k * 1000 + rng.randrange(12) for _ in range(30)] + list(range(k % 3 * 50, k % 3 * 50 + 50)), np.uint64)) for k in range(12)]
