@@ -125,6 +125,23 @@ def test_the_model_is_a_distribution_and_learns():
     assert (data == np.arange(1000, dtype=np.uint64) ** 5).all()
 
 
+@pytest.mark.parametrize("v", [20_000, 1 << 26])
+def test_cells_agree_with_em_without_bins(v):
+    """However large the vocabulary, estimates near 1 stay apart from small ones."""
+    rng = np.random.default_rng(5)
+    p1 = np.exp2(-rng.uniform(3, 16, 4000))
+    p2 = np.where(rng.random(4000) < 0.6, np.minimum(1, p1 * np.exp2(rng.uniform(-3, 9, 4000))), 0)
+    p0, classes = 1 / (v + 1), np.full(4000, 5)
+    cells, n = np.unique(interpolation.cells_of(classes, p2, p1, p0), return_counts=True)
+    got = interpolation.learn_weights(cells, n.astype(float))[5]
+    want = np.full(3, 1 / 3)
+    for _ in range(interpolation.ROUNDS):
+        share = want * np.stack([p2, p1, np.full(4000, p0)], axis=1)
+        want = (share / share.sum(axis=1, keepdims=True)).sum(axis=0) + 1e-3
+        want /= want.sum()
+    assert np.abs(got - want).max() < 0.01
+
+
 def test_scores_beat_the_base_on_held_out_texts(spark, sf_dir):
     rows = interpolation.score(_common.documents(spark, sf_dir)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]

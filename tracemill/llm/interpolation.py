@@ -9,8 +9,9 @@ block sends, to each of P partitions of the hash range, the sorted hashes of its
 counts in training documents: each term once per block, so no term is hot. A partition adds up all blocks' counts and
 answers each block with the totals, in the order of the question. Blocks, and then scores, follow from the answers.
 
-What EM sees is a table of how often each cell (class of context, binned ratios of the three estimates) occurs; the
-number of cells is fixed by the bins and not by the corpus, and so is what reaches the driver.
+What EM sees is a table of how often each cell (class of context, binned ratios of the three estimates) occurs. The bins
+span every ratio that can occur, so none is cut off; an estimate lies between 1 / N and 1, so at most 4 log2(N) + 2 bins
+of each kind are in use, and what reaches the driver grows with the square of the logarithm of the corpus.
 
 Words are known by 64-bit hashes. Defined results: a null or empty text is one end token; a document with a null id is
 held out (it belongs to no fold); repeated rows count each; other columns are ignored; without training documents N and V
@@ -36,7 +37,9 @@ U = np.uint64
 BLOCK = 1 << 20
 #: Terms of all blocks that one partition of the hash range adds up.
 TERMS_A_PARTITION = 4 << 20
-CLASSES, BINS, BIN = 24, 128, 0.25
+#: Bins of a quarter of a power of two, 255 each way from ratio 1 (bin ONE), the least ones wrapped to the end: no count
+#: of 64 bits leaves them. Bin 0 is an estimate of zero.
+CLASSES, BINS, BIN, ONE = 24, 512, 0.25, 64
 END = U(0x5E3779B97F4A7C15)
 #: The context before the first word.
 START = U(0x1B873593CC9E2D51)
@@ -212,20 +215,24 @@ def _cells(est: Estimates, starts: int) -> tuple[np.ndarray, np.ndarray]:
     own_context[b.first] = 1
     keep = b.train[b.doc]
     p2, p1, p0 = _parts((est.pair - own_pair)[keep], (est.contexts(starts) - own_context)[keep], (est.c - own_c)[keep], (est.n - b.counts[b.doc])[keep], est.v)
-    classes = context_class((est.contexts(starts) - own_context)[keep])
+    return np.unique(cells_of(context_class((est.contexts(starts) - own_context)[keep]), p2, p1, p0), return_counts=True)
+
+
+def cells_of(classes: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float) -> np.ndarray:
+    """The cell of each token: class, and the bins of both estimates; bin 0 is an estimate of zero."""
 
     def bin_of(p):
-        with np.errstate(divide="ignore"):
-            return np.where(p > 0, np.clip(np.round(np.log2(p / p0) / BIN), -BINS // 2 + 1, BINS // 2 - 1) + BINS // 2, 0).astype(np.int64)
+        return np.where(p > 0, 1 + (np.round(np.log2(np.where(p > 0, p, p0) / p0) / BIN) + ONE - 1) % (BINS - 1), 0).astype(np.int64)
 
-    return np.unique((classes * BINS + bin_of(p2)) * BINS + bin_of(p1), return_counts=True)
+    return (classes * BINS + bin_of(p2)) * BINS + bin_of(p1)
 
 
 def learn_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """(CLASSES, 3) weights by expectation-maximisation over the cells."""
     classes, rest = np.divmod(cells, BINS * BINS)
     b2, b1 = np.divmod(rest, BINS)
-    ratio = [np.where(b > 0, np.exp2((b - BINS // 2) * BIN), 0.0) for b in (b2, b1)] + [np.ones(len(cells))]
+    half = BINS // 2 - 1
+    ratio = [np.where(b > 0, np.exp2(((b - ONE + half) % (BINS - 1) - half) * BIN), 0.0) for b in (b2, b1)] + [np.ones(len(cells))]
     p = np.stack(ratio, axis=1)
     weights = np.full((CLASSES, 3), 1 / 3)
     weights[0] = (0, 0.5, 0.5)
@@ -269,7 +276,7 @@ def score(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(count, pa.int64())})
 
     seen = _each_block(blocks, answered, parts, n, v, cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = seen.toPandas()  # at most CLASSES * BINS * BINS rows
+    found = seen.toPandas()  # at most CLASSES * (4 log2(N) + 2) ** 2 rows
     weights = learn_weights(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64))
 
     def scores(est: Estimates) -> pa.Table:
