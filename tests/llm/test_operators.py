@@ -368,6 +368,15 @@ def test_license_scan(spark, no_docs):
         license_scan.scan(no_docs, {"short": "too few words"})
 
 
+def test_the_right_one_of_competing_licenses():
+    names = ["GPL-2.0-header", "GPL-3.0-header", "LGPL-2.1-header", "AGPL-3.0-header", "BSD-3-Clause", "CC-BY-4.0-notice", "CC-BY-NC-4.0-sentence", "CC-BY-SA-4.0-sentence", "GPL-2", "LGPL-2.1"]
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name in names:
+        data = np.frombuffer(license_scan.TEMPLATES[name].encode(), np.uint8)
+        found = license_scan.scan_shingles(index, *license_scan.shingles(data, np.array([0, len(data)])))
+        assert [index.names[t] for _, t, *_ in found] == [name]
+
+
 def test_bands_and_groups():
     assert (1 - 0.5) ** license_scan.bands_for(1, 1) <= 1e-4
     assert [len(g) for g in license_scan.groups_of({str(n): "a b c d e" for n in range(5)}, 10)] == [2, 2, 1]

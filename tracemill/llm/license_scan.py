@@ -15,6 +15,7 @@ other columns are ignored; a template of fewer than five words is an error.
 from __future__ import annotations
 
 import math
+import pkgutil
 from collections.abc import Iterable
 
 import numpy as np
@@ -26,7 +27,7 @@ from tracemill.llm import _words as words
 
 SHINGLE, CONTAINED, MISS, GROUP = 5, 0.8, 1e-4, 1 << 18
 
-#: Notices and grants of public licenses, as they are worded by their publishers.
+#: One-line notices, and headers, grants and whole texts of public licenses as their publishers word them.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -37,6 +38,13 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "BSD-2-Clause-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    **{f"CC-{code}-4.0-sentence": f"This work is licensed under a Creative Commons Attribution-{kind} 4.0 International License." for code, kind in (("BY-NC", "NonCommercial"), ("BY-SA", "ShareAlike"), ("BY-ND", "NoDerivatives"), ("BY-NC-SA", "NonCommercial-ShareAlike"), ("BY-NC-ND", "NonCommercial-NoDerivatives"))},
+    **{name: pkgutil.get_data("tracemill.llm", f"licenses/{name}.txt").decode() for name in ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MIT", "MPL-2.0", "Unlicense")},
 }
 
 #: Each byte as the scan reads it: ASCII letters in lower case, other ASCII signs as spaces.
@@ -90,9 +98,12 @@ def band(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def scan_shingles(index: Index, h: np.ndarray, count: np.ndarray) -> list[tuple[int, int, float, int, int]]:
-    """(row, template, containment, first shingle, last shingle) of the best window of each row and template."""
+    """(row, template, containment, first shingle, last shingle) of the best window of each row and template.
+
+    Where templates compete for a stretch (half of the shorter), the one with more of its shingles there has it.
+    """
     start = np.cumsum(count) - count
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    hits: dict[int, list[tuple[int, float, int, int, int]]] = {}
     for size, tables in index.classes:
         blocks = -(-count // size)
         row = np.repeat(np.arange(len(count)), blocks)
@@ -118,10 +129,21 @@ def scan_shingles(index: Index, h: np.ndarray, count: np.ndarray) -> list[tuple[
             hit = np.flatnonzero(np.isin(part, index.sets[t][0]))
             if not len(hit):
                 continue
-            share = len(np.unique(part[hit])) / len(index.sets[t][0])
-            if share >= CONTAINED and share > best.get((r, t), (0.0,))[0]:
-                best[r, t] = (share, begin + int(hit[0]) - int(start[r]), begin + int(hit[-1]) - int(start[r]))
-    return [(r, t, *found) for (r, t), found in sorted(best.items())]
+            held = len(np.unique(part[hit]))
+            share = held / len(index.sets[t][0])
+            if share >= CONTAINED:
+                hits.setdefault(r, []).append((-held, -share, t, begin + int(hit[0]) - int(start[r]), begin + int(hit[-1]) - int(start[r])))
+    out = []
+    for r, found in sorted(hits.items()):
+        taken: dict[int, tuple[float, int, int]] = {}
+        spans: list[tuple[int, int, int]] = []
+        for _, share, t, a, b in sorted(found):
+            if all(o == t or 2 * (min(b, d) - max(a, c) + 1) <= min(b - a, d - c) + 1 for o, c, d in spans):
+                spans.append((t, a, b))
+                if -share > taken.get(t, (0.0,))[0]:
+                    taken[t] = (-share, a, b)
+        out += [(r, t, *taken[t]) for t in sorted(taken)]
+    return out
 
 
 def groups_of(templates: dict[str, str], most: int = GROUP) -> list[dict[str, str]]:
