@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,11 +37,16 @@ def bpe():
     return byte_bpe.load(BYTE_BPE, P.PATTERN)
 
 
-def test_byte_bpe_digests(docs, rows, no_docs, bpe):
+@pytest.fixture(scope="module")
+def plain_bpe(bpe):
+    return tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+
+
+def test_byte_bpe_digests(docs, rows, no_docs, plain_bpe):
     got = by_id(byte_bpe.digest_documents(docs, BYTE_BPE, P.PATTERN))
     assert len(got) == len(rows)
     for doc_id, text, *_ in rows:
-        ids = bpe.exact.encode_ordinary(text or "")
+        ids = plain_bpe.encode_ordinary(text or "")
         want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
         assert (got[doc_id].n_tokens, got[doc_id].ids_sha256, got[doc_id].decoded_sha256) == want
     assert byte_bpe.digest_documents(no_docs, BYTE_BPE, P.PATTERN).count() == 0
@@ -55,14 +61,32 @@ def test_byte_bpe_round_trip_and_offsets(docs, rows, bpe):
         assert bpe.decode_bytes(r.ids).decode() == texts[r.doc_id]
 
 
-def test_byte_bpe_noise_and_split_characters(bpe):
+def test_byte_bpe_ranks_and_overlapping_merges(bpe, plain_bpe):
+    """Every token is what its own bytes merge into; strings of overlapping merges go by rank, however long."""
+    library, table = bpe.model.model, byte_bpe.byte_table()
+    assert all(len(library.tokenize("".join(table[b] for b in t))) == 1 for t in bpe.ranks)
+    rng, known = random.Random(11), sorted(t.decode("utf-8", "ignore") for t in bpe.doubtful)
+    for _ in range(3000):
+        text = "".join(rng.choice([rng.choice(known), rng.choice(" an-=o!"), rng.choice(known)[:2]]) for _ in range(rng.randrange(1, 7)))
+        assert bpe.encode(text)[0] == bpe._settle(text) == plain_bpe.encode_ordinary(text), text
+    for text in ("-" * 50_001, "an" * 20_001 + " x", "a" * 30_000 + " " + "-" * 30):
+        assert bpe.encode(text)[0] == plain_bpe.encode_ordinary(text)
+
+
+def test_byte_bpe_competing_pairs():
+    """Two merges that make one token from different pairs and overlap: the leftmost wins."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"aab": 257, b"aba": 258, b"ab": 259, b"ba": 260}
+    assert b"ababa" not in byte_bpe.overlaps({b"ab": 1}) and b"ababa" in byte_bpe.overlaps(ranks | {b"a": 97})
+
+
+def test_byte_bpe_noise_and_split_characters(bpe, plain_bpe):
     rng = random.Random(5)
     for _ in range(400):
         text = "".join(rng.choice("ab  \n\t'séß日😀1,.\x1c\x85 ") for _ in range(rng.randrange(40)))
-        assert bpe.encode(text)[0] == bpe.exact.encode_ordinary(text) and "".join(bpe.pieces(text)) == text
-        ids = bpe.exact.encode_ordinary(text)
+        assert bpe.encode(text)[0] == plain_bpe.encode_ordinary(text) and "".join(bpe.pieces(text)) == text
+        ids = plain_bpe.encode_ordinary(text)
         assert "".join(bpe.decode_stream(ids)) == text
-    assert list(bpe.decode_stream(bpe.exact.encode_ordinary("😀")))[-1:] == ["😀"]
+    assert list(bpe.decode_stream(plain_bpe.encode_ordinary("😀")))[-1:] == ["😀"]
 
 
 # --- packing --------------------------------------------------------------------------------------------------------
