@@ -337,6 +337,7 @@ def plain_removal(texts, length):
 @pytest.mark.parametrize("zones", [1024, 1])
 def test_repeats(docs, rows, monkeypatch, zones):
     monkeypatch.setattr(suffix_dedup, "ZONES", zones)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 2 if zones == 1 else 16)  # every repeated anchor is hot
     texts = [(r[1] or "").encode() for r in rows]
     got = suffix_dedup.remove_repeats(docs, lambda i, t, s: (i, str(s), len(t)), "doc_id long, spans string, n long").collect()
     assert {r.doc_id: r.spans for r in got} == {r[0]: str(s) for r, s in zip(rows, plain_removal(texts, 400), strict=True)}
@@ -348,8 +349,9 @@ def test_repeats_at_small_lengths(spark, monkeypatch):
     texts = [base[rng.randrange(30) :][: rng.randrange(40)] + "".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {n: str(s) for n, s in enumerate(plain_removal([t.encode() for t in texts], 12))}
-    for zones in (1024, 2):
+    for zones, often in ((1024, 16), (2, 16), (1024, 2), (2, 2)):
         monkeypatch.setattr(suffix_dedup, "ZONES", zones)
+        monkeypatch.setattr(suffix_dedup, "OFTEN", often)
         got = suffix_dedup.remove_repeats(df, lambda i, t, s: (i, str(s)), "doc_id long, spans string", length=12, anchor=6)
         assert {r.doc_id: r.spans for r in got.collect()} == want
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SEPARATOR = 0
+SEPARATOR, MARK = 0, 300
 
 
 #: Texts of up to this many characters are sorted as packed numbers: two ranks and a position in 63 bits.
@@ -98,24 +98,33 @@ def shared_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return order, split[:n]
 
 
-def repeated_windows(bodies: list[bytes], place: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each body the offsets at which a string of ``length`` bytes begins that also begins elsewhere.
+def repeated_windows(bodies: list[bytes], place: np.ndarray, length: int, kind: np.ndarray | None = None, mark: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each body the offsets at which a string of ``length`` characters begins that also begins elsewhere.
 
     place: for each body a number, such that offset o of a body is the place place + o; one place may occur in two
-    bodies, and does not count as elsewhere.
+    bodies, and does not count as elsewhere. kind: strings of bodies of different kinds are different strings.
+    mark: for each body an offset at which one more character stands, which no byte equals; ``length`` counts it.
     """
-    sizes = np.array([len(b) for b in bodies])
+    extra = 0 if mark is None else 1
+    sizes = np.array([len(b) for b in bodies]) + extra
     begin = np.cumsum(sizes + 1) - sizes - 1
     text = np.zeros(int(sizes.sum()) + len(bodies), np.uint16)
-    for at, body in zip(begin.tolist(), bodies, strict=True):
-        text[at : at + len(body)] = np.frombuffer(body, np.uint8)
-        text[at : at + len(body)] += 1
+    for n, (at, body) in enumerate(zip(begin.tolist(), bodies, strict=True)):
+        cut = len(body) if mark is None else int(mark[n])
+        raw = np.frombuffer(body, np.uint8)
+        text[at : at + cut] = raw[:cut]
+        text[at + cut + extra : at + extra + len(body)] = raw[cut:]
+        text[at : at + len(body) + extra] += 1
+    if mark is not None:
+        text[begin + mark] = MARK
     order, split = shared_prefixes(text, length)
     owner = np.repeat(np.arange(len(bodies)), sizes + 1)[order]
     offset = order - begin[owner]
     group = np.cumsum(split) - 1
     whole = np.flatnonzero(sizes[owner] - offset >= length)
     owner, offset, group = owner[whole], offset[whole], group[whole]
+    if kind is not None:
+        _, group = np.unique(group << 32 | kind[owner], return_inverse=True)
     where = place[owner] + offset
     least, most = np.full(group.max(initial=0) + 1, np.iinfo(np.int64).max), np.full(group.max(initial=0) + 1, np.iinfo(np.int64).min)
     np.minimum.at(least, group, where)

@@ -8,14 +8,20 @@ equals; what occurs once is dropped.
 * Zones that are equal as a whole are repeated as a whole. Long copies are settled here by hashes alone.
 * Different zones around one anchor, of which some occur once, are compared by suffix order: one text per distinct zone,
   some megabytes at a time, through ``_bwt``: breadth-first backward extension on the Burrows-Wheeler transform,
-  stopping at ``length``.
+  stopping at the minimum length. The anchor itself stands there as one character, so that strings of ``length`` bytes
+  that hold it are strings of ``length - ANCHOR + 1`` characters; a zone is first cut to what it shares with its most
+  similar neighbours on either side, and left out if that is too short for any string.
 * An anchor with more than ``ZONES`` distinct zones is refined first: half of the strings share more bytes to the left of
   the anchor, half more to the right; each zone goes to two narrower groups. What is alone there is dropped, what is
-  equal there is settled. After eight rounds a group is one string.
+  equal there is settled. After about log2(length - ANCHOR) rounds a group is one string.
+
+No task holds all occurrences of a frequent anchor. One that occurs ``OFTEN`` times in one Arrow batch is hot: its zones
+are counted with partial sums and met again in joins, whose large sides Spark splits; the rest is counted in one shuffle.
 
 Rows are known by doc_id where it is unique and not null, else by a hash of id and text. Defined results: a null or
-empty text has no bytes and no spans; repeated rows are documents of their own (each of them is a copy of the other);
-other columns are ignored; an empty table gives an empty result.
+empty text has no bytes and no spans; repeated rows are documents of their own (each of them is a copy of the other), so
+ties need no order: all copies lose the string; other columns are ignored, whatever their names; an empty table gives an
+empty result. A text is handled whole; a task holds some tens of bytes for each byte of its longest text.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ LENGTH, ANCHOR = 400, 256
 ZONES, SORTED_BYTES = 1024, 1 << 20
 #: Row keys (8 bytes each) that are broadcast to pick rows; beyond, rows are picked by a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Occurrences of an anchor in one Arrow batch that make it hot.
+OFTEN = 16
 
 
 def _least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -78,21 +86,24 @@ def anchors_of(data: np.ndarray, row_at: np.ndarray, length: int, anchor: int) -
 
 
 def _occurrences(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """anchor, zone, row, place of every chosen anchor; place packs the position and the bytes before and after."""
+    """anchor, zone, row, place of every chosen anchor; place packs the position and the bytes before and after.
 
-    def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            data, at = _common.utf8_of(batch.column(1))
-            data = np.frombuffer(data, np.uint8)
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, end in words.chunks(at):
-                row_at = np.array(at[first : end + 1]) - at[first]
-                row, place, h, zone, before, after = anchors_of(data[at[first] : at[end]], row_at, length, anchor)
-                if len(row):
-                    packed = place << 24 | before << 12 | after
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(zone.view(np.int64)), pa.array(keys[first:end][row].astype(np.int64)), pa.array(packed)], ["anchor", "zone", "row", "place"])
+    often: how many times the anchor occurs in its Arrow batch.
+    """
 
-    return docs.select("row", "text").mapInArrow(run, "anchor long, zone long, row long, place long")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, at = _common.utf8_of(batch.column(1))
+        data = np.frombuffer(data, np.uint8)
+        keys, parts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), []
+        for first, end in words.chunks(at):
+            row_at = np.array(at[first : end + 1]) - at[first]
+            row, place, h, zone, before, after = anchors_of(data[at[first] : at[end]], row_at, length, anchor)
+            parts.append((h.view(np.int64), zone.view(np.int64), keys[first:end][row], place << 24 | before << 12 | after))
+        h, zone, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, which, count = np.unique(h, return_inverse=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, zone, row, place, count[which].astype(np.int32))], ["anchor", "zone", "row", "place", "often"])
+
+    return docs.select("row", "text").mapInArrow(_common.per_batch(run), "anchor long, zone long, row long, place long, often int")
 
 
 def _position(place="place"):
@@ -155,22 +166,44 @@ def _spans(rows: list[tuple[int, int, int]]) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("row", "begin", "end"), cols, strict=True)})
 
 
-def _compare(zones: DataFrame, length: int, total: int) -> DataFrame:
+def _shared_with_neighbours(parts: list[bytes], group: np.ndarray, most: int) -> np.ndarray:
+    """How many leading bytes each part shares with any other of its group; zero bytes may make it seem more."""
+    held = np.array(parts, f"S{most}")
+    order = np.lexsort((held, group))
+    raw = held[order].view(np.uint8).reshape(len(parts), most)
+    apart = np.ones((len(parts), most + 1), bool)  # neighbours differ here; the last column stands for the end
+    apart[1:, :most] = raw[1:] != raw[:-1]
+    shared = apart.argmax(axis=1)
+    shared[0] = 0
+    shared[1:][group[order][1:] != group[order][:-1]] = 0
+    out = np.empty(len(parts), np.int64)
+    out[order] = np.maximum(shared, np.r_[shared[1:], 0])
+    return np.minimum(out, [len(p) for p in parts])
+
+
+def _compare(zones: DataFrame, length: int, anchor: int, total: int) -> DataFrame:
     """row, begin, end of repeated strings in zones that occur once, by suffix order over whole groups."""
+    slack = length - anchor
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("grp", "ascending"), ("row", "ascending"), ("begin", "ascending")])
-        grp, row, begin, single = (table.column(c).to_numpy() for c in ("grp", "row", "begin", "single"))
+        grp, row, begin, single, before = (table.column(c).to_numpy() for c in ("grp", "row", "begin", "single", "before"))
         bodies, out = table.column("body").to_pylist(), []
-        sizes = np.cumsum([len(b) for b in bodies])
-        edges = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+        _, kind = np.unique(grp, return_inverse=True)
+        left, right = [b[:n] for b, n in zip(bodies, before.tolist(), strict=True)], [b[n + anchor :] for b, n in zip(bodies, before.tolist(), strict=True)]
+        ahead, after = _shared_with_neighbours([x[::-1] for x in left], kind, slack), _shared_with_neighbours(right, kind, slack)
+        live = np.flatnonzero(ahead + after >= slack)
+        texts = [left[n][len(left[n]) - a :] + right[n][:b] for n, a, b in zip(live.tolist(), ahead[live].tolist(), after[live].tolist(), strict=True)]
+        kind, row, single, mark, begin = kind[live], row[live], single[live], ahead[live], (begin + before - ahead)[live]
+        sizes = np.cumsum([0, *(len(x) for x in texts)])
+        edges = np.r_[np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]), len(kind)] if len(kind) else np.zeros(1, int)
         first = 0
-        while first < len(edges):  # whole groups, about SORTED_BYTES at a time
+        while first < len(edges) - 1:  # whole groups, about SORTED_BYTES at a time
             low = edges[first]
-            last = max(first + 1, int(np.searchsorted(sizes[np.r_[edges[1:] - 1, len(grp) - 1]], (sizes[low - 1] if low else 0) + SORTED_BYTES)))
-            high = edges[last] if last < len(edges) else len(grp)
+            last = max(first + 1, int(np.searchsorted(sizes[edges], sizes[low] + SORTED_BYTES, "right")) - 1)
+            high = edges[last]
             _, known = np.unique(row[low:high], return_inverse=True)
-            found = repeated_windows(bodies[low:high], known.astype(np.int64) << 32 | begin[low:high], length)
+            found = repeated_windows(texts[low:high], known.astype(np.int64) << 32 | begin[low:high], slack + 1, kind[low:high], mark[low:high])
             for k in np.flatnonzero(single[low:high]).tolist():
                 out += [(int(row[low + k]), int(begin[low + k]) + a, int(begin[low + k]) + b) for a, b in _runs(found[k], length)]
             first = last
@@ -180,6 +213,13 @@ def _compare(zones: DataFrame, length: int, total: int) -> DataFrame:
     return zones.withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("int")).groupBy("task").applyInArrow(run, "row long, begin long, end long")
 
 
+def _kinds(members: DataFrame, group: str, whole: str, place: list[str], tables: _common.Tables) -> DataFrame:
+    """group, whole, equal, least (the first place of that whole), kinds and fewest (of its group); partial sums throughout."""
+    per = tables.keep(members.groupBy(group, whole).agg(F.count("*").alias("equal"), F.min(F.struct(*place)).alias("least")))
+    around = tables.keep(per.groupBy(group).agg(F.count("*").alias("kinds"), F.min("equal").alias("fewest")))
+    return per.join(F.broadcast(around) if around.count() <= BROADCAST_ROWS else around, group).where("equal > 1 OR kinds > 1 AND fewest = 1")
+
+
 def _refine(zones: DataFrame, length: int, slack: int, tables: _common.Tables) -> tuple[DataFrame, list[DataFrame]]:
     """Zones of anchors that have too many: (groups that are small enough to compare, tables of repeated strings).
 
@@ -199,12 +239,10 @@ def _refine(zones: DataFrame, length: int, slack: int, tables: _common.Tables) -
             begin, end = F.greatest(F.lit(0), before - b), F.least(size, before - a + length)
             half = current.where((before >= a) & (before - b + length <= size))
             halves.append(half.select(F.xxhash64("grp", a, b, core).alias("grp"), "row", (F.col("begin") + begin).alias("begin"), "single", (before - begin).alias("before"), F.substring("body", begin + 1, end - begin).alias("body"), a.alias("low"), b.alias("high")))
-        same = W.partitionBy("grp", "whole")
-        sized = _union(halves).withColumn("whole", F.xxhash64("body", "before"))
-        sized = sized.withColumn("first", F.row_number().over(same.orderBy("row", "begin")) == 1).withColumn("equal", F.count("*").over(same))
-        whole_group = W.partitionBy("grp")
-        sized = sized.withColumns({"kinds": F.sum(F.col("first").cast("int")).over(whole_group), "fewest": F.min("equal").over(whole_group)})
-        sized = tables.keep(sized.where("equal > 1 OR kinds > 1").select(*names, "first", "equal", "kinds", "fewest"))
+        sized = tables.keep(_union(halves).withColumn("whole", F.xxhash64("body", "before")))
+        kinds = tables.keep(_kinds(sized, "grp", "whole", ["row", "begin"], tables))
+        sized = sized.join(kinds, ["grp", "whole"]).withColumn("first", F.struct("row", "begin") == F.col("least"))
+        sized = tables.keep(sized.select(*names, "first", "equal", "kinds", "fewest"))
         spans.append(sized.where(F.expr("equal > 1 AND single") & (size >= length)).select("row", "begin", (F.col("begin") + size).alias("end")))
         ahead = sized.where("first AND kinds > 1 AND fewest = 1").withColumn("single", F.expr("single AND equal = 1"))
         small.append(ahead.where(f"kinds <= {ZONES}").select(*names[:-2]))
@@ -220,32 +258,50 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _found(seen: DataFrame) -> DataFrame:
+    """anchor, row, place, n, zones of what is repeated; compare: it stands for its zone in a comparison.
+
+    n: occurrences of the zone; zones: of the anchor; only_compare: the same occurrence has another row, without this.
+    """
+    same, around = W.partitionBy("anchor", "zone"), W.partitionBy("anchor")
+    first = F.row_number().over(same.orderBy("row", "place")) == 1
+    seen = seen.repartition("anchor").withColumn("first", first).withColumn("n", F.count("*").over(same))
+    seen = seen.withColumns({"fewest": F.min("n").over(around), "zones": F.sum(F.col("first").cast("int")).over(around)})
+    open_group = F.expr("zones > 1 AND fewest = 1")
+    return seen.where((F.col("n") > 1) | open_group).select("anchor", "row", "place", "n", "zones", (F.col("first") & open_group).alias("compare"), F.lit(False).alias("only_compare"))
+
+
+def _found_hot(seen: DataFrame, tables: _common.Tables) -> DataFrame:
+    """The same for anchors that occur too often to meet in one task."""
+    kinds = tables.keep(_kinds(seen, "anchor", "zone", ["row", "place"], tables))
+    many = tables.keep(kinds.where("equal > 1").select("anchor", "zone", F.col("equal").alias("n"), F.col("kinds").alias("zones")))
+    all_of = seen.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, ["anchor", "zone"])
+    all_of = all_of.select("anchor", "row", "place", "n", "zones", F.lit(False).alias("compare"), F.lit(False).alias("only_compare"))
+    compared = kinds.where("kinds > 1 AND fewest = 1").select("anchor", F.col("least.row").alias("row"), F.col("least.place").alias("place"), F.col("equal").alias("n"), F.col("kinds").alias("zones"))
+    return all_of.unionByName(compared.withColumns({"compare": F.lit(True), "only_compare": F.lit(True)}))
+
+
 def repeated_spans(rows: DataFrame, tables: _common.Tables, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(row, begin, end): stretches of bytes, which may overlap, that cover every repeated string. rows: (row, text)."""
     slack = length - anchor
     if not 0 < slack < 4096:
         raise ValueError("the anchor must be shorter than the string, by less than 4096 bytes")
-    same = W.partitionBy("anchor", "zone")
-    around = W.partitionBy("anchor")
-    seen = _occurrences(rows, length, anchor).repartition("anchor")
-    first = F.row_number().over(same.orderBy("row", "place")) == 1
-    seen = seen.withColumn("first", first).withColumn("n", F.count("*").over(same))
-    seen = seen.withColumns({"least": F.min("zone").over(around), "most": F.max("zone").over(around), "fewest": F.min("n").over(around), "zones": F.sum(F.col("first").cast("int")).over(around)})
-    open_group = (F.col("least") != F.col("most")) & (F.col("fewest") == 1)
-    found = seen.where((F.col("n") > 1) | open_group)
-    found = tables.keep(found.select("anchor", "row", "place", "n", "zones", (F.col("first") & open_group).alias("compare")))
-    whole = found.where((F.col("n") > 1) & (_end(anchor) - _begin() >= length)).select("row", _begin().alias("begin"), _end(anchor).alias("end"))
+    seen = tables.keep(_occurrences(rows, length, anchor))
+    hot = tables.keep(seen.where(F.col("often") >= OFTEN).select("anchor").distinct())
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    found = tables.keep(_found(seen.join(hot, "anchor", "left_anti")).unionByName(_found_hot(seen.join(hot, "anchor", "left_semi"), tables)))
+    whole = found.where((F.col("n") > 1) & ~F.col("only_compare") & (_end(anchor) - _begin() >= length)).select("row", _begin().alias("begin"), _end(anchor).alias("end"))
     wanted = found.where("compare").select("anchor", "row", "place", (F.col("n") == 1).alias("single"), "zones")
     zones = tables.keep(_zones(rows, wanted, anchor, tables))
     sizes = zones.agg(F.sum(F.when(F.col("many"), 0).otherwise(F.octet_length("body"))).alias("few"), F.count(F.when(F.col("many"), 1)).alias("many")).first()
-    spans, groups, total = [whole], zones.where("NOT many").select("grp", "row", "begin", "single", "body"), sizes.few or 0
+    spans, groups, total = [whole], zones.where("NOT many").select("grp", "row", "begin", "single", "before", "body"), sizes.few or 0
     if sizes.many:
         narrow, more = _refine(zones.where("many"), length, slack, tables)
-        groups = groups.unionByName(narrow.select("grp", "row", "begin", "single", "body"))
+        groups = groups.unionByName(narrow.select("grp", "row", "begin", "single", "before", "body"))
         total += narrow.agg(F.sum(F.octet_length("body"))).first()[0] or 0
         spans += more
     if total:
-        spans.append(_compare(groups, length, total))
+        spans.append(_compare(groups, length, anchor, total))
     return _union(spans)
 
 
