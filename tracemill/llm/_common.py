@@ -94,6 +94,17 @@ def partitions(total: float, each: float, least: int = 1, most: int = 1 << 16) -
     return max(least, min(most, math.ceil(total / each)))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each drawn out with underscores until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]
