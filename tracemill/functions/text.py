@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,11 +26,64 @@ def shorten(text: Column, limit: int = catalog.EXCERPT_CHARS, settings: Settings
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("...")))
 
 
+#: What a text must hold for a rule to match anywhere: one of some words (in lower case where case is ignored), or a
+#: shorter pattern. Rules from a configuration have no such guard.
+GUARDS: dict[str, tuple[str, tuple[str, ...]]] = dict(
+    zip(
+        (pattern for pattern, _ in catalog.REDACTIONS),
+        (
+            ("words", ("@",)),
+            ("lower", ("authorization:",)),
+            ("lower", ("cookie:",)),
+            ("lower", ("key", "token", "secret", "password", "cookie")),
+            ("words", ("sk-",)),
+            ("words", ("AKIA",)),
+            ("lower", ("secret", "token")),
+            ("words", ("k_live_", "k_test_")),
+            ("words", ("whsec_",)),
+            ("words", ("xox",)),
+            ("words", ("AIza",)),
+            ("words", ("npm_",)),
+            ("words", ("glpat-",)),
+            ("words", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+            ("words", ("github_pat_",)),
+            ("words", ("eyJ",)),
+            ("pattern", (r"\d{3}[\s.-]?\d{4}",)),
+            ("words", ("PRIVATE KEY-----",)),
+            ("lower", ("bearer",)),
+            ("pattern", (r"[A-Za-z0-9_+/=-]{56}",)),
+        ),
+        strict=True,
+    )
+)
+
+
+def _may_match(text: Column, pattern: str) -> Column:
+    kind, needed = GUARDS[pattern]
+    if kind == "pattern":
+        return matches(text, needed[0])
+    body, out = F.lower(F.upper(text)) if kind == "lower" else text, F.lit(False)
+    for word in needed:
+        out = out | body.contains(word)
+    return out
+
+
+def _guarded(pattern: str, by: str) -> Callable[[Column], Column]:
+    return lambda text: F.when(_may_match(text, pattern), replace_all(text, pattern, by)).otherwise(text)
+
+
 def redact(text: Column, settings: Settings = Settings()) -> Column:
-    """All rules in their order; nothing under ``full``."""
+    """All rules in their order; nothing under ``full``. A rule runs where its guard holds.
+
+    Each rule is a function of one variable, so that the plan holds every pattern once.
+    """
     out = F.coalesce(text, F.lit(""))
-    if not settings.full:
-        for pattern, by in settings.redactions:
+    if settings.full:
+        return out
+    for pattern, by in settings.redactions:
+        if pattern in GUARDS:
+            out = F.get(F.transform(F.array(out), _guarded(pattern, by)), F.lit(0))
+        else:
             out = replace_all(out, pattern, by)
     return out
 

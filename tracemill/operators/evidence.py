@@ -22,6 +22,8 @@ FIELDS = ["source", "path", "line", "session_id", "kind", "tool_name", "command"
 ITEM = "struct<sub:int,pos:int,call_id:string,is_call:boolean,tool:string,command:string,skill:string,mode:string,output:string,flag:boolean,text:string>"
 CALL = "struct<tool:string,command:string,clis:array<string>,sole:string,wants:boolean>"
 FOUND = "array<struct<list:string,entity:string,kind:string,text:string,tool_name:string,command:string,session:string,phase:int,sub:int,pos:int,cli_pos:int>>"
+#: What ends a line of a tool's output.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def items_of(rows: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def _blamed(output: Column, clis: Column, source: Column) -> Column:
 
     When that blames nobody, one dialect's calls blame all of them and the other's none.
     """
-    lines = F.split(output, r"\r\n|\r|\n")
+    lines = F.split(output, LINE_ENDS)
     spots = F.sequence(F.lit(0), F.size(lines) - 1)
 
     def friction(n: Column) -> Column:
@@ -65,6 +67,10 @@ def _blamed(output: Column, clis: Column, source: Column) -> Column:
     return F.when(F.size(clis) <= 1, clis).when((F.size(found) == 0) & (source == "claude"), clis).otherwise(found)
 
 
+def _shown(text: Column, most: int, settings: Settings) -> Column:
+    return tx.shorten(tx.redact(text, settings), most, settings)
+
+
 def evidence(rows: DataFrame, settings: Settings) -> DataFrame:
     """The evidence table of normalized records with their context."""
     items = with_calls(items_of(rows), settings)
@@ -82,6 +88,12 @@ def evidence(rows: DataFrame, settings: Settings) -> DataFrame:
     items = items.withColumn("quiet", quiet).withColumn("payload", F.when(F.col("quiet"), tx.empty_payload(output)))
     items = items.withColumn("blamed", F.when(F.col("failed") & F.col("bash"), _blamed(output, clis, F.col("source"))).otherwise(F.array().cast("array<string>")))
 
+    # words are masked and cut once an item, however many rows they come to stand in
+    tracked = F.size(clis) > 0
+    stands = {"masked_text": (F.col("text"), F.col("correction")), "masked_output": (output, F.expr("failed OR hung")), "masked_payload": (F.col("payload"), F.col("payload").isNotNull())}
+    items = items.withColumns({n: F.when(w, _shown(t, catalog.EXCERPT_CHARS, settings)) for n, (t, w) in stands.items()})
+    items = items.withColumns({"masked_call": F.when(is_call & tracked, _shown(call["command"], catalog.EXCERPT_CHARS, settings)), "masked_command": _shown(call["command"], catalog.COMMAND_CHARS, settings), "masked_sole": F.when(F.col("payload").isNotNull(), _shown(call["sole"], catalog.COMMAND_CHARS, settings))})
+
     def found(where, lst, entity, kind, text, tool="", command="", session="session_id", phase=0, sub=None, pos=None, cli_pos=0) -> Column:
         lit = lambda x: x if isinstance(x, Column) else F.lit(x)
         row = F.struct(lit(lst).alias("list"), lit(entity).alias("entity"), lit(kind).alias("kind"), lit(text).alias("text"), lit(tool).alias("tool_name"), lit(command).alias("command"), F.col(session).alias("session"), lit(phase).alias("phase"), (F.col("sub") if sub is None else lit(sub)).alias("sub"), (F.col("pos") if pos is None else pos).alias("pos"), lit(cli_pos).alias("cli_pos"))
@@ -94,34 +106,36 @@ def evidence(rows: DataFrame, settings: Settings) -> DataFrame:
         values = dict(list=lst, entity=entity, kind=kind, text=text, tool_name=tool, command=command, session=session, phase=phase, sub=sub, pos=pos, cli_pos=cli_pos)
         return F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in values.items()))
 
-    command, sid, last = F.col("call.command"), F.col("session_id"), F.col("last_session_id")
+    command, sole, sid, last = F.col("masked_command"), F.col("masked_sole"), F.col("session_id"), F.col("last_session_id")
+    text, output, payload = F.col("masked_text"), F.col("masked_output"), F.col("masked_payload")
     at = (F.col("sub"), F.col("pos"))
     slashes = F.regexp_extract_all("text", F.lit(java(catalog.SLASH_COMMAND)), F.lit(1))
+    brief = lambda t: _shown(t, catalog.EXCERPT_CHARS, settings)
     many = [
-        each(F.col("text") != "", slashes, lambda n, k: row("slash", n, catalog.SLASH, F.concat(F.lit("/"), n), "", "", sid, 0, 0, k, 0)),
-        found((F.col("text") != "") & F.col("correction"), "correction", "", catalog.CORRECTION, F.col("text"), sub=1),
+        each(F.col("text") != "", slashes, lambda n, k: row("slash", n, catalog.SLASH, brief(F.concat(F.lit("/"), n)), "", "", sid, 0, 0, k, 0)),
+        found((F.col("text") != "") & F.col("correction"), "correction", "", catalog.CORRECTION, text, sub=1),
         found(is_call, "call", "", "call", "", tool, command),
-        found(is_call & (tool == "Skill") & (F.col("skill") != "") & (F.col("source") == "claude"), "skill", F.col("skill"), catalog.SKILL, F.concat(F.lit("Skill("), F.col("skill"), F.lit(")")), tool),
-        each(is_call & (command != ""), clis, lambda c, k: row("cli", c, catalog.INVOCATION, command, tool, command, sid, 0, *at, k)),
+        found(is_call & (tool == "Skill") & (F.col("skill") != "") & (F.col("source") == "claude"), "skill", F.col("skill"), catalog.SKILL, brief(F.concat(F.lit("Skill("), F.col("skill"), F.lit(")"))), tool),
+        each(is_call & (F.col("call.command") != ""), clis, lambda c, k: row("cli", c, catalog.INVOCATION, F.col("masked_call"), tool, command, sid, 0, *at, k)),
         found(F.col("failed"), "failure", "", catalog.FAILURE, output, tool, command),
         each(F.col("failed"), F.col("blamed"), lambda c, k: row("cli", c, catalog.FAILURE, output, tool, command, sid, 0, *at, k)),
         each(F.col("hung"), clis, lambda c, k: row("cli", c, catalog.HANG, output, "Bash", command, sid, 0, *at, k)),
-        found(F.col("payload").isNotNull(), "empty", "", catalog.EMPTY, F.col("payload"), tool, F.col("call.sole"), "last_session_id", 1),
-        each(F.col("payload").isNotNull(), clis, lambda c, k: row("cli", c, catalog.EMPTY, F.col("payload"), tool, F.col("call.sole"), last, 1, *at, k)),
+        found(F.col("payload").isNotNull(), "empty", "", catalog.EMPTY, payload, tool, sole, "last_session_id", 1),
+        each(F.col("payload").isNotNull(), clis, lambda c, k: row("cli", c, catalog.EMPTY, payload, tool, sole, last, 1, *at, k)),
     ]
     own = ["source", "path", "session_ord", "mtime", "line", "ts", "last_session_id", *HEAD]
-    rows = items.select(*own, F.explode(F.concat(*many)).alias("e")).select(*own, "e.*")
+    called = F.col("call.command").alias("called")
+    rows = items.select(*own, called, F.explode(F.concat(*many)).alias("e")).select(*own, "called", "e.*")
     time = tx.parse_time(F.col("ts"))
-    program = F.when(F.col("list") == "call", tx.executable(F.col("command")))
-    plain = F.when(F.col("list") == "call", (F.col("command") != "") & ~matches(F.col("command"), catalog.CODE_HEAD))
-    hits = F.when(F.col("list") == "call", F.filter(F.array(*(F.when(matches(F.col("command"), w[1]), F.lit(n)) for n, w in enumerate(catalog.WORKFLOWS))), lambda x: x.isNotNull()))
+    raw = F.when(F.col("list") == "call", F.col("called"))
+    plain = F.when(raw.isNotNull(), (raw != "") & ~matches(raw, catalog.CODE_HEAD))
+    hits = F.when(raw.isNotNull(), F.filter(F.array(*(F.when(matches(raw, w[1]), F.lit(n)) for n, w in enumerate(catalog.WORKFLOWS))), lambda x: x.isNotNull()))
     return rows.select(
         "list", "entity", "source", "path", "line", F.col("session").alias("session_id"), "kind", "tool_name",
-        tx.shorten(tx.redact(F.col("command"), settings), catalog.COMMAND_CHARS, settings).alias("command"),
-        tx.iso(time).alias("occurred_at"), tx.shorten(tx.redact(F.col("text"), settings), catalog.EXCERPT_CHARS, settings).alias("excerpt"),
+        "command", tx.iso(time).alias("occurred_at"), F.coalesce("text", F.lit("")).alias("excerpt"),
         F.coalesce(time, "mtime", tx.path_time(F.col("path"))).alias("event_time"), "mtime", "last_session_id", *HEAD,
-        *(c for c in ORDER if c != "line"), program.alias("program"), plain.alias("plain"), hits.alias("workflows"),
-        F.when(plain, F.col("command")).alias("raw_command"),
+        *(c for c in ORDER if c != "line"), F.when(raw.isNotNull(), tx.executable(raw)).alias("program"), plain.alias("plain"), hits.alias("workflows"),
+        F.when(plain, raw).alias("raw_command"),
     )
 
 

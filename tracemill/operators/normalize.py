@@ -111,7 +111,7 @@ def with_context(rows: DataFrame, settings: Settings) -> DataFrame:
     so_far = W.partitionBy("path").orderBy("line")
     before = so_far.rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    later = W.partitionBy("path").orderBy("line").rangeBetween(1, W.unboundedFollowing)
+    from_the_end = W.partitionBy("path").orderBy(F.col("line").desc()).rowsBetween(W.unboundedPreceding, -1)  # a running frame
     same = W.partitionBy("path", "user_text").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     rows = rows.repartition("path").withColumn("scaffold", tx.is_scaffold(F.col("user_text"), F.col("path"), settings))
@@ -126,7 +126,7 @@ def with_context(rows: DataFrame, settings: Settings) -> DataFrame:
         "responded": F.max("agent").over(so_far.rowsBetween(W.unboundedPreceding, 0)),
         "typed_before": F.coalesce(F.max(typed).over(before), F.lit(False)),
         "repeated": F.coalesce(F.max(typed).over(same), F.lit(False)),
-        "next_step": F.min(step).over(later),
+        "next_step": F.last(step, True).over(from_the_end),
     })
     eligible = F.col("responded") & F.col("typed_before") & ~F.col("repeated")
     return rows.withColumn("correction", eligible & tx.is_correction(F.col("user_text"), F.col("path"), settings)).drop("sid", "cwd_set", "agent", "step", "step_text")

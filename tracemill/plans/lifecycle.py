@@ -1,4 +1,7 @@
-"""What happens to proposals from run to run: recurrence, resolutions, seen keys and the history of targets."""
+"""What happens to proposals from run to run: recurrence, resolutions, seen keys and the history of targets.
+
+Nothing here is broadcast by hint: seen keys grow with every run, so the planner decides by size.
+"""
 
 from __future__ import annotations
 
@@ -43,9 +46,9 @@ def recurrence(proposals: DataFrame, history: DataFrame, resolutions: DataFrame)
     Runs up to a target's resolution don't count; with a resolution, nor do run ids that are no time.
     """
     marks = resolutions.where("watermark IS NOT NULL").select("target", "watermark")
-    counted = history.join(F.broadcast(marks), "target", "left").where(F.col("watermark").isNull() | F.coalesce(run_time(F.col("run_id")) > F.col("watermark"), F.lit(False)))
+    counted = history.join(marks, "target", "left").where(F.col("watermark").isNull() | F.coalesce(run_time(F.col("run_id")) > F.col("watermark"), F.lit(False)))
     prior = counted.groupBy("target").agg(F.count("*").alias("prior"))
-    out = proposals.withColumn("target", target_key()).join(F.broadcast(prior), "target", "left").withColumn("prior", F.coalesce("prior", F.lit(0)))
+    out = proposals.withColumn("target", target_key()).join(prior, "target", "left").withColumn("prior", F.coalesce("prior", F.lit(0)))
     more = F.concat(F.lit(" Recurring: also flagged in "), F.col("prior").cast("string"), F.lit(" previous run(s)."))
     return out.withColumns({"recurrence": F.col("prior") + 1, "summary": F.concat("summary", F.when(F.col("prior") > 0, more).otherwise(""))}).drop("prior")
 
@@ -61,12 +64,12 @@ def disposition(proposals: DataFrame, resolutions: DataFrame, seen: DataFrame, i
 
     Resolutions come before seen keys. A fixed target is a regression if its latest evidence is later than the fix.
     """
-    out = proposals.join(F.broadcast(resolutions), "target", "left")
+    out = proposals.join(resolutions, "target", "left")
     fixed = F.coalesce(F.col("decision") == "fixed", F.lit(False))
     later = F.coalesce(F.date_trunc("second", "latest_evidence_at") > F.col("watermark"), F.lit(False))
     out = out.withColumn("regression", fixed & later).withColumn("settled", F.col("decision").isNotNull() & ~F.col("regression"))
     out = out.withColumn("suppressed", F.col("settled") & ~F.lit(include_resolved))
-    out = out.join(F.broadcast(seen.select(F.col("key").alias("proposal_key")).distinct().withColumn("seen", F.lit(True))), "proposal_key", "left")
+    out = out.join(seen.select(F.col("key").alias("proposal_key")).distinct().withColumn("seen", F.lit(True)), "proposal_key", "left")
     note = F.concat(F.lit(" Regression after "), F.coalesce(F.nullif(F.col("pr"), F.lit("")), F.lit("recorded fix")), F.lit(" (fixed "), F.col("resolved_at"), F.lit(")."))
     out = out.withColumn("summary", F.concat("summary", F.when(F.col("regression"), note).otherwise("")))
     return out.withColumn("emitted", ~F.col("suppressed") & (F.lit(include_seen) | F.col("seen").isNull())).drop("seen")

@@ -1,31 +1,26 @@
-"""Queries over the given tables that exercise the engine's operators, each with the SQL that it must agree with.
+"""Queries over the given tables that exercise single operators, each with the SQL that it must agree with.
 
-The events table stands for transcripts: a user's week is a session, its events in time are lines, an error is the failed
-result of the last other event, and the number in props names a tool server.
+``mined_queries`` holds those that run the whole transcript engine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tracemill import catalog
+from tracemill import catalog, mined_queries
 from tracemill.config import Settings
 from tracemill.functions import text as tx
-from tracemill.functions.patterns import matches, replace_all
 from tracemill.functions.shell import tracked_names
-from tracemill.operators.keys import key_of
-from tracemill.operators.routes import kept, num, said
 from tracemill.plans import lifecycle
 from tracemill.plans.scan import health_warnings, parse_stats
 from tracemill.sources import transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(mined_queries.QUERIES)
+SQL: dict[str, str] = dict(mined_queries.SQL)
 
 
 def query(sql: str | None = None):
@@ -42,249 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as transcript lines: one shuffle by session, which the windows after it reuse."""
-    events = table(spark, sf_dir, "events")
-    week = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 604800)
-    session = F.concat(F.col("user_id").cast("string"), F.lit("-w"), week.cast("string"))
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
-    named = events.select(session.alias("session_id"), "event_id", "user_id", "ts", "event_type", k.alias("k"), "value")
-    order = W.partitionBy("session_id").orderBy("ts", "event_id")
-    tool = F.concat(F.lit("mcp__s"), (F.col("k") % 7).cast("string"), F.lit("__"), F.col("event_type"))
-    return named.withColumn("line", F.row_number().over(order)).withColumn("tool_name", tool)
-
-
-LINES = """
-lines AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS INTEGER) AS line,
-         'mcp__s' || CAST(k % 7 AS VARCHAR) || '__' || event_type AS tool_name
-  FROM (SELECT CAST(user_id AS VARCHAR) || '-w' || CAST(CAST(floor(epoch(ts) / 604800) AS BIGINT) AS VARCHAR) AS session_id,
-               event_id, user_id, ts, event_type, value, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events)
-)"""
-
-
-def with_last_call(rows: DataFrame) -> DataFrame:
-    """Each error with the latest earlier event that isn't one: the as-of join of results to calls."""
-    before = W.partitionBy("session_id").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    call = F.when(F.col("event_type") != "error", F.struct("line", "tool_name", "event_id"))
-    return rows.withColumn("call", F.last(call, True).over(before))
-
-
-FAILURES = (
-    LINES
-    + """,
-failures AS (
-  SELECT * FROM (SELECT *,
-    last_value(CASE WHEN event_type <> 'error' THEN line END IGNORE NULLS) OVER w AS call_line,
-    last_value(CASE WHEN event_type <> 'error' THEN tool_name END IGNORE NULLS) OVER w AS call_tool,
-    last_value(CASE WHEN event_type <> 'error' THEN event_id END IGNORE NULLS) OVER w AS call_id
-  FROM lines WINDOW w AS (PARTITION BY session_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  WHERE event_type = 'error' AND call_line IS NOT NULL
-)"""
-)
-
-
-def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_last_call(lines(spark, sf_dir)).where("event_type = 'error' AND call IS NOT NULL")
-
-
-@query("WITH " + FAILURES + " SELECT session_id, line, call_line, call_tool, call_id FROM failures")
-def latest_call_join(spark, sf_dir):
-    found = failures(spark, sf_dir)
-    return found.select("session_id", "line", F.col("call.line").alias("call_line"), F.col("call.tool_name").alias("call_tool"), F.col("call.event_id").alias("call_id"))
-
-
-@query(
-    "WITH "
-    + FAILURES
-    + """,
-named AS (SELECT split_part(call_tool, '__', 2) AS server, * FROM failures),
-sums AS (SELECT server, count(*) AS n, count(DISTINCT session_id) AS n_sessions, list_sort(list_distinct(list(call_tool))) AS names FROM named GROUP BY server),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY session_id, line) AS nth FROM named),
-kept AS (SELECT server, string_agg(session_id || ':' || CAST(line AS VARCHAR), ',' ORDER BY nth) AS evidence FROM ranked WHERE nth <= 12 GROUP BY server)
-SELECT server, n AS n_failures, n_sessions, array_to_string(names[1:4], ', ') || CASE WHEN len(names) > 4 THEN '...' ELSE '' END AS tools, evidence
-FROM sums JOIN kept USING (server) WHERE n >= 3 AND n_sessions >= 2"""
-)
-def mcp_friction(spark, sf_dir):
-    """Tool servers whose calls fail three times in two sessions, with their first evidence."""
-    rows = failures(spark, sf_dir).select("session_id", "line", F.col("call.tool_name").alias("call_tool")).withColumn("server", tx.mcp_server(F.col("call_tool")))
-    sums = rows.groupBy("server").agg(F.count("*").alias("n_failures"), F.count_distinct("session_id").alias("n_sessions"), F.array_sort(F.collect_set("call_tool")).alias("names")).where("n_failures >= 3 AND n_sessions >= 2")
-    first = rows.withColumn("nth", F.row_number().over(W.partitionBy("server").orderBy("session_id", "line"))).where("nth <= 12")
-    first = first.groupBy("server").agg(F.array_sort(F.collect_list(F.struct("nth", F.concat_ws(":", "session_id", F.col("line").cast("string")).alias("ref")))).alias("kept"))
-    shown = F.concat(F.array_join(F.slice("names", 1, 4), ", "), F.when(F.size("names") > 4, "...").otherwise(""))
-    return sums.join(first, "server").select("server", "n_failures", "n_sessions", shown.alias("tools"), F.array_join(F.transform("kept", lambda k: k["ref"]), ",").alias("evidence"))
-
-
-@query(
-    "WITH "
-    + LINES
-    + """, steps AS (SELECT *, min(CASE WHEN event_type IN ('click', 'view') THEN line END) OVER (PARTITION BY session_id ORDER BY line RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_step FROM lines)
-SELECT s.session_id, s.line, s.next_step, n.event_type = 'view' AS seen FROM steps s JOIN lines n ON s.session_id = n.session_id AND s.next_step = n.line WHERE s.event_type = 'error'"""
-)
-def next_step_swallowed(spark, sf_dir):
-    """For each error the next agent step, and whether it takes note."""
-    later = W.partitionBy("session_id").orderBy("line").rangeBetween(1, W.unboundedFollowing)
-    step = F.when(F.col("event_type").isin("click", "view"), F.struct("line", (F.col("event_type") == "view").alias("seen")))
-    rows = lines(spark, sf_dir).withColumn("next", F.min(step).over(later)).where("event_type = 'error' AND next IS NOT NULL")
-    return rows.select("session_id", "line", F.col("next.line").alias("next_step"), F.col("next.seen").alias("seen"))
-
-
-@query(
-    "WITH "
-    + LINES
-    + """ SELECT session_id, line, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w, -1) AS carried,
-  first_value(event_id) OVER (PARTITION BY session_id ORDER BY line) AS started, last_value(event_id) OVER (PARTITION BY session_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ended
-FROM lines WINDOW w AS (PARTITION BY session_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
-)
-def header_carry_forward(spark, sf_dir):
-    order = W.partitionBy("session_id").orderBy("line")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    carried = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return lines(spark, sf_dir).select("session_id", "line", F.coalesce(carried, F.lit(-1)).alias("carried"), F.first("event_id").over(whole).alias("started"), F.last("event_id").over(whole).alias("ended"))
-
-
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) = 1 AS first_time FROM conversations WHERE role = 'user'")
-def first_user_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", (F.row_number().over(W.partitionBy("conv_id", "text").orderBy("turn")) == 1).alias("first_time"))
-
-
-@query(
-    """SELECT conv_id, turn, role, coalesce(max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER w, 0) = 1 AS responded,
-  coalesce(max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w, 0) = 1 AS typed_before
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
-)
-def responded_flags(spark, sf_dir):
-    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    flag = lambda r: F.coalesce(F.max(F.col("role") == r).over(before), F.lit(False))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", flag("assistant").alias("responded"), flag("user").alias("typed_before"))
-
-
-CUE = r"(?i)(^|[^a-z])(the|der|que|la)([^a-z]|$)"
-
-
-@query(
-    """WITH flags AS (SELECT *, coalesce(max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER w, 0) = 1 AS responded,
-  coalesce(max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w, 0) = 1 AS typed_before,
-  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn) = 1 AS fresh
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT conv_id, turn FROM flags WHERE role = 'user' AND responded AND typed_before AND fresh AND length(text) <= 400
-  AND regexp_matches(left(text, 360), '(?i)(^|[^a-z])(the|der|que|la)([^a-z]|$)')"""
-)
-def correction_eligibility(spark, sf_dir):
-    """The rules of corrections with a cue that occurs in these texts."""
-    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    same = W.partitionBy("conv_id", "role", "text").orderBy("turn")
-    flag = lambda r: F.coalesce(F.max(F.col("role") == r).over(before), F.lit(False))
-    rows = table(spark, sf_dir, "conversations").withColumns({"responded": flag("assistant"), "typed": flag("user"), "fresh": F.row_number().over(same) == 1})
-    cue = F.substring("text", 1, catalog.CUE_CHARS).rlike(CUE)
-    return rows.where("role = 'user' AND responded AND typed AND fresh").where((F.length("text") <= catalog.WEAK_CHARS) & cue).select("conv_id", "turn")
-
-
-@query(
-    "WITH "
-    + LINES
-    + """, per AS (SELECT event_type AS entity, session_id, count(*) AS uses, count(DISTINCT k % 3) AS shapes FROM lines WHERE event_type <> 'error' GROUP BY ALL),
-trouble AS (SELECT DISTINCT session_id FROM lines WHERE event_type = 'error')
-SELECT entity, max(uses) AS retries, count(*) AS n_sessions FROM per WHERE uses >= 3 AND (shapes > 1 OR session_id IN (SELECT session_id FROM trouble)) GROUP BY entity"""
-)
-def retry_friction(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    per = rows.where("event_type <> 'error'").groupBy(F.col("event_type").alias("entity"), "session_id").agg(F.count("*").alias("uses"), F.count_distinct(F.col("k") % 3).alias("shapes")).where(f"uses >= {catalog.RETRIES}")
-    trouble = rows.where("event_type = 'error'").select("session_id").distinct().withColumn("trouble", F.lit(True))
-    return per.join(trouble, "session_id", "left").where("shapes > 1 OR trouble").groupBy("entity").agg(F.max("uses").alias("retries"), F.count("*").alias("n_sessions"))
-
-
-@query(
-    "WITH "
-    + LINES
-    + """, first AS (SELECT session_id, tool_name AS skill, min(line) AS first_line FROM lines WHERE event_type = 'signup' GROUP BY ALL)
-SELECT skill, count(*) AS n_corrections, count(DISTINCT l.session_id) AS n_sessions FROM lines l JOIN first f ON l.session_id = f.session_id AND l.line > f.first_line WHERE event_type = 'error' GROUP BY skill"""
-)
-def skill_after_first_use(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    first = rows.where("event_type = 'signup'").groupBy("session_id", F.col("tool_name").alias("skill")).agg(F.min("line").alias("first_line"))
-    later = rows.where("event_type = 'error'").select("session_id", "line").join(first, "session_id").where("line > first_line")
-    return later.groupBy("skill").agg(F.count("*").alias("n_corrections"), F.count_distinct("session_id").alias("n_sessions"))
-
-
-@query(
-    "WITH "
-    + LINES
-    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line) AS nth FROM lines WHERE event_type = 'error' AND session_id NOT IN (SELECT session_id FROM lines WHERE event_type = 'signup' AND k < 10))
-SELECT user_id AS project, count(*) AS n_corrections FROM ranked WHERE nth <= 3 GROUP BY user_id"""
-)
-def memory_cap3(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    skilled = rows.where("event_type = 'signup' AND k < 10").select("session_id").distinct()
-    own = rows.where("event_type = 'error'").join(skilled, "session_id", "left_anti").withColumn("nth", F.row_number().over(W.partitionBy("session_id").orderBy("line")))
-    return own.where(f"nth <= {catalog.CORRECTIONS_A_SESSION}").groupBy(F.col("user_id").alias("project")).agg(F.count("*").alias("n_corrections"))
-
-
-@query(
-    "WITH "
-    + FAILURES
-    + """, named AS (SELECT split_part(call_tool, '__', 3) || CAST(k % 10 AS VARCHAR) AS program, k % 2 = 0 AS durable, session_id FROM failures)
-SELECT program, count(*) FILTER (durable) AS failures, count(*) FILTER (NOT durable) AS empties, count(DISTINCT session_id) AS n_sessions FROM named GROUP BY program
-HAVING (count(*) FILTER (durable) >= 3 AND count(DISTINCT CASE WHEN durable THEN session_id END) >= 2) OR (count(*) FILTER (NOT durable) >= 3 AND count(DISTINCT CASE WHEN NOT durable THEN session_id END) >= 2)"""
-)
-def backlog_thresholds(spark, sf_dir):
-    from tracemill.operators.routes import _friction
-
-    rows = failures(spark, sf_dir).select("session_id", F.concat(F.get(F.split("call.tool_name", "__"), 2), (F.col("k") % 10).cast("string")).alias("program"), F.when(F.col("k") % 2 == 0, "failure").otherwise("empty").alias("list"))
-    return _friction(rows, "program").where("(failures >= 3 AND failure_sessions >= 2) OR (empties >= 3 AND empty_sessions >= 2)").select("program", "failures", "empties", "n_sessions")
-
-
-@query(
-    "WITH "
-    + LINES
-    + """, hits AS (SELECT 'even_view' AS pattern, session_id FROM lines WHERE regexp_matches(tool_name, 's[0246]__view') UNION ALL SELECT 'odd_click', session_id FROM lines WHERE regexp_matches(tool_name, 's[135]__click'))
-SELECT pattern, count(*) AS n, count(DISTINCT session_id) AS n_sessions FROM hits GROUP BY pattern HAVING count(*) >= 2"""
-)
-def workflow_clusters(spark, sf_dir):
-    patterns = (("even_view", r"s[0246]__view"), ("odd_click", r"s[135]__click"))
-    hit = F.filter(F.array(*(F.when(matches(F.col("tool_name"), p), F.lit(n)) for n, p in patterns)), lambda x: x.isNotNull())
-    rows = lines(spark, sf_dir).withColumn("pattern", F.explode(hit))
-    return rows.groupBy("pattern").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("n_sessions")).where("n >= 2")
-
-
-@query(
-    "WITH "
-    + LINES
-    + """, sums AS (SELECT tool_name AS name, count(*) AS n, min(event_id) AS first FROM lines GROUP BY tool_name)
-SELECT name, n, CAST(row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS place FROM sums ORDER BY n DESC, first LIMIT 10"""
-)
-def top_names(spark, sf_dir):
-    """The ten names used most; of equal ones the one met first."""
-    sums = lines(spark, sf_dir).groupBy(F.col("tool_name").alias("name")).agg(F.count("*").alias("n"), F.min("event_id").alias("first")).orderBy(F.col("n").desc(), "first").limit(10)
-    return sums.select("name", "n", F.row_number().over(W.orderBy(F.col("n").desc(), "first")).alias("place"))
-
-
-@query(
-    """WITH sums AS (SELECT source AS name, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source), top AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) AS place FROM sums ORDER BY n DESC, first LIMIT 10),
-ranked AS (SELECT doc_id, source, place, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents JOIN top ON source = name)
-SELECT CAST(place AS INTEGER) AS place, doc_id FROM ranked WHERE nth <= 2 ORDER BY ranked.place, nth LIMIT 12"""
-)
-def top_evidence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    sums = docs.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy(F.col("n").desc(), "first").limit(10)
-    top = sums.select("name", F.row_number().over(W.orderBy(F.col("n").desc(), "first")).alias("place"))  # ten rows
-    ranked = docs.join(F.broadcast(top), F.col("source") == F.col("name")).withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("nth <= 2")
-    return ranked.orderBy("place", "nth").limit(12).select("place", "doc_id")
-
-
-@query(
-    "WITH "
-    + LINES
-    + """ SELECT session_id, count(*) AS tool_call_count, array_to_string(list_sort(list_distinct(list(CASE WHEN event_type <> 'error' THEN tool_name END))), ',') AS names,
-  count(*) FILTER (event_type = 'error') AS failure_count FROM lines GROUP BY session_id HAVING count(*) FILTER (event_type IN ('error', 'signup')) > 0"""
-)
-def session_index(spark, sf_dir):
-    names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("event_type") != "error", F.col("tool_name")))), ",")
-    rows = lines(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("tool_call_count"), names.alias("names"), F.count_if(F.col("event_type") == "error").alias("failure_count"), F.count_if(F.col("event_type").isin("error", "signup")).alias("signals"))
-    return rows.where("signals > 0").drop("signals")
-
-
 @query(
     """WITH files AS (SELECT source, doc_id FROM documents), calls AS (SELECT doc_id FROM labels WHERE toxic = 1),
 stats AS (SELECT source, count(DISTINCT f.doc_id) AS files, count(c.doc_id) AS tool_calls FROM files f LEFT JOIN calls c USING (doc_id) GROUP BY source)
@@ -298,20 +50,6 @@ def parser_health(spark, sf_dir):
     return stats.join(stale, "source", "left").select("source", "files", "tool_calls", F.coalesce("stale", F.lit(False)).alias("stale"))
 
 
-@query(
-    "WITH "
-    + FAILURES
-    + """, ranked AS (SELECT call_tool AS name, 'events:' || session_id || ':' || CAST(line AS VARCHAR) || ':tool_failure' AS ref, row_number() OVER (PARTITION BY call_tool ORDER BY session_id, line) AS nth FROM failures)
-SELECT name, left(sha256('tool' || chr(0) || 'tool' || chr(0) || name || chr(0) || string_agg(ref, chr(0) ORDER BY nth)), 20) AS proposal_key FROM ranked WHERE nth <= 12 GROUP BY name"""
-)
-def proposal_keys(spark, sf_dir):
-    rows = failures(spark, sf_dir).select(F.col("call.tool_name").alias("name"), F.lit("events").alias("source"), F.col("session_id").alias("path"), "line", "session_id", F.lit(catalog.FAILURE).alias("kind"), F.col("call.tool_name").alias("tool_name"), F.lit("").alias("command"), F.lit("").alias("occurred_at"), F.lit("").alias("excerpt"), F.col("ts").cast("timestamp").alias("event_time"))
-    groups = kept(rows, "name", ["session_id", "line"])
-    from tracemill.operators.routes import references
-
-    return groups.select("name", key_of([F.lit("tool"), F.lit("tool"), F.col("name")], references(F.col("evidence"))).alias("proposal_key"))
-
-
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders) WHERE nth = 1")
 def ordered_dedupe(spark, sf_dir):
     """Of orders of one customer the first: ordered removal of repeated keys."""
@@ -325,89 +63,26 @@ def index_anti_join(spark, sf_dir):
     return lifecycle.new_rows(table(spark, sf_dir, "documents").select("doc_id"), known, ("doc_id",))
 
 
-def server_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A proposal per server, dated by its latest failure."""
-    rows = failures(spark, sf_dir).withColumn("target_name", tx.mcp_server(F.col("call.tool_name")))
-    sums = rows.groupBy("target_name").agg(F.count("*").alias("n"), F.max(F.col("ts").cast("timestamp")).alias("latest_evidence_at"))
-    return sums.withColumns({"route": F.lit("tool"), "proposal_key": F.left(F.sha2("target_name", 256), F.lit(20)), "summary": F.concat(F.col("target_name"), F.lit(": "), said((F.col("n") > 0, F.concat(num("n"), F.lit(" failed"))))), "gen_route": F.lit(0), "gen_name": F.col("target_name")})
-
+#: What the rules' Unicode classes and look-around are in an engine that has neither: a word character, and its absence.
+WORD, NO_WORD = r"\pL\pN\pM\p{Pc}", r"[^\pL\pN\pM\p{Pc}]"
 
-RESOLVED = {"tool:s1": ("fixed", "2000-01-01T00:00:00+00:00"), "tool:s2": ("fixed", "2999-01-01T00:00:00+00:00"), "tool:s3": ("ignored", "2000-01-01T00:00:00+00:00")}
-RUNS = {"tool:s1": ["19990101T000000Z", "20010101T000000Z"], "tool:s4": ["r1", "20010101T000000Z", "20010102T000000Z"], "tool:s5": [f"200101{d:02d}T000000Z" for d in range(1, 13)]}
-SERVERS = (
-    "WITH "
-    + FAILURES
-    + """, props AS (SELECT split_part(call_tool, '__', 2) AS target_name, count(*) AS n, max(ts) AS latest FROM failures GROUP BY 1)"""
-)
 
-
-def _state(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    resolutions = {k: {"decision": d, "resolved_at": at, "pr": "", "note": "", "by": ""} for k, (d, at) in RESOLVED.items()}
-    return lifecycle.history_table(spark, {"target_run_history": RUNS}), lifecycle.resolution_table(spark, resolutions)
-
-
-@query(SERVERS + """ SELECT target_name, target_name = 's1' AS regression, target_name IN ('s2', 's3') AS settled, target_name NOT IN ('s2', 's3', 's6') AS emitted FROM props""")
-def resolution_filter(spark, sf_dir):
-    history, resolutions = _state(spark)
-    found = lifecycle.recurrence(server_proposals(spark, sf_dir), history, resolutions)
-    seen = spark.sql("SELECT left(sha2('s6', 256), 20) AS key")
-    return lifecycle.disposition(found, resolutions, seen).select("target_name", "regression", "settled", "emitted")
-
-
-@query(
-    SERVERS
-    + """ SELECT target_name, CASE target_name WHEN 's1' THEN 2 WHEN 's4' THEN 4 WHEN 's5' THEN 13 ELSE 1 END AS recurrence,
-  target_name || ': ' || CAST(n AS VARCHAR) || ' failed' || CASE target_name WHEN 's1' THEN ' Recurring: also flagged in 1 previous run(s).' WHEN 's4' THEN ' Recurring: also flagged in 3 previous run(s).' WHEN 's5' THEN ' Recurring: also flagged in 12 previous run(s).' ELSE '' END AS summary FROM props"""
-)
-def recurrence_sort(spark, sf_dir):
-    history, resolutions = _state(spark)
-    return lifecycle.recurrence(server_proposals(spark, sf_dir), history, resolutions).select("target_name", F.col("recurrence").cast("int").alias("recurrence"), "summary")
-
-
-@query(
-    SERVERS
-    + """, old AS (SELECT * FROM (VALUES ('tool:s1', '19990101T000000Z', 0), ('tool:s1', '20010101T000000Z', 1), ('tool:s4', 'r1', 0), ('tool:s4', '20010101T000000Z', 1), ('tool:s4', '20010102T000000Z', 2)) v(target, run_id, nth)
-  UNION ALL SELECT 'tool:s5', '200101' || lpad(CAST(d AS VARCHAR), 2, '0') || 'T000000Z', d - 1 FROM range(1, 13) r(d)),
-touched AS (SELECT * FROM old UNION ALL SELECT 'tool:' || target_name, '20300101T000000Z', 1000 FROM props WHERE target_name NOT IN ('s2', 's3')),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY nth DESC) AS back FROM touched)
-SELECT target, run_id, CAST(row_number() OVER (PARTITION BY target ORDER BY nth) - 1 AS INTEGER) AS nth FROM ranked WHERE back <= 10"""
-)
-def history_last10(spark, sf_dir):
-    history, resolutions = _state(spark)
-    found = lifecycle.recurrence(server_proposals(spark, sf_dir), history, resolutions)
-    judged = lifecycle.disposition(found, resolutions, spark.createDataFrame([], "key string"))
-    return lifecycle.history_after(history, judged, "20300101T000000Z").select("target", "run_id", F.col("nth").cast("int").alias("nth"))
-
-
-def _chain(column: str, rules) -> str:
-    for pattern, by in rules:
-        pattern, by = pattern.replace("'", "''"), by.replace("'", "''")
-        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+def _chained(column: str) -> str:
+    """All redaction rules over a column. A rule that ends at the absence of a word is run twice: neighbours share it."""
+    for pattern, by in catalog.REDACTIONS:
+        pattern, times = pattern.replace(r"[\w", "[" + WORD), 1
+        if r"(?<!\w)" in pattern:
+            pattern, by, times = pattern.replace(r"(?<!\w)", f"(^|{NO_WORD})").replace(r"(?!\w)", f"($|{NO_WORD})"), r"\1" + by + r"\2", 2
+        for _ in range(times):
+            column = "regexp_replace({}, '{}', '{}', 'g')".format(column, *(x.replace("'", "''") for x in (pattern, by)))
     return column
 
 
-#: Rules that both regular expression engines read alike.
-PLAIN_RULES = tuple(catalog.REDACTIONS[n] for n in (0, 3, 4, 5, 18)) + ((r"[0-9a-f]{40,}", "<redacted-long-token>"),)
-ASCII_RULES = tuple((p.replace(r"[\w.+-]", "[A-Za-z0-9_.+-]").replace(r"[\w.-]", "[A-Za-z0-9_.-]"), by) for p, by in PLAIN_RULES)
-
-
-def _redacted(text: Column) -> Column:
-    for pattern, by in ASCII_RULES:
-        text = replace_all(text, pattern, by)
-    return text
-
-
-@query(f"SELECT doc_id, sha256({_chain('text', ASCII_RULES)}) AS redacted_sha256, {_chain('text', ASCII_RULES)} <> text AS changed FROM documents")
+@query(f"SELECT doc_id, sha256(masked) AS redacted_sha256, masked <> text AS changed, contains(masked, '<phone>') AS phone FROM (SELECT doc_id, coalesce(text, '') AS text, {_chained("coalesce(text, '')")} AS masked FROM documents)")
 def redact_documents(spark, sf_dir):
-    masked = _redacted(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(masked, 256).alias("redacted_sha256"), (masked != F.col("text")).alias("changed"))
-
-
-@query()
-def redact_phone(spark, sf_dir):
-    """All rules, the ones with look-around included."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", tx.redact(F.col("text")).alias("redacted"))
-    return rows.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), F.contains("redacted", F.lit("<phone>")).alias("phone"))
+    """All rules, in their order, over whole texts."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), tx.redact(F.col("text")).alias("masked"))
+    return rows.select("doc_id", F.sha2("masked", 256).alias("redacted_sha256"), (F.col("masked") != F.col("text")).alias("changed"), F.contains("masked", F.lit("<phone>")).alias("phone"))
 
 
 @query(
@@ -418,32 +93,45 @@ def shorten_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.shorten(F.col("text")).alias("excerpt"))
 
 
-@query("SELECT source, count(*) AS n, bool_or(regexp_matches(text, '(?i)(^|[^a-z])(client|school|phone|email)([^a-z]|$)')) AS private FROM documents GROUP BY source")
-def privacy_flag(spark, sf_dir):
-    cue = F.col("text").rlike(r"(?i)(^|[^a-z])(client|school|phone|email)([^a-z]|$)")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.bool_or(cue).alias("private"))
-
-
-@query("SELECT user_id, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 2 - 1 AS INTEGER) AS line, event_id, event_type, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events")
+@query("SELECT user_id, CAST(ts AS DATE) AS day, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) * 2 - 1 AS INTEGER) AS line, event_id, event_type, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events")
 def json_lines_scan(spark, sf_dir):
-    """Events written out as numbered JSON lines, one text per user with a blank line after each, and read back."""
-    events = table(spark, sf_dir, "events")
+    """Events written out as numbered JSON lines, one text for a user's day with a blank line after each, and read back."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
     one = F.struct("ts", "event_id", F.to_json(F.struct("event_id", "event_type", "props")).alias("line"))
-    texts = events.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("found")).select("user_id", F.array_join(F.transform("found", lambda f: f["line"]), "\n\n").alias("value"))
+    texts = events.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(one)).alias("found")).select("user_id", "day", F.array_join(F.transform("found", lambda f: f["line"]), "\n\n").alias("value"))
     rows = transcripts.records(transcripts.number_lines(texts, "value"))
     inner = tx.object_of(tx.field(F.col("rec"), "props"))
     number = lambda v, n, t: F.try_variant_get(v, f"$.{n}", t)
-    return rows.select("user_id", "line", number(F.col("rec"), "event_id", "long").alias("event_id"), number(F.col("rec"), "event_type", "string").alias("event_type"), F.coalesce(number(inner, "k", "int"), F.lit(0)).alias("k"))
-
-
-@query()
+    return rows.select("user_id", "day", "line", number(F.col("rec"), "event_id", "long").alias("event_id"), number(F.col("rec"), "event_type", "string").alias("event_type"), F.coalesce(number(inner, "k", "int"), F.lit(0)).alias("k"))
+
+
+#: Command lines around a tracked name, and whether it runs there.
+COMMANDS = (
+    ("cd /x && {} list --k 1", True),
+    ("cd /x && ssh host '{} list --k 1'", True),
+    ("A=1 env {} get", True),
+    ("echo {}", False),
+    ("cat <<EOF\n{} list\nEOF\nls", False),
+    ("cat <<EOF\ntext\nEOF\n{} list", True),
+    ("for x in {}; do $x --help; done", True),
+    ("for x in {}; do echo y; done", False),
+    ("git log | grep {}", False),
+    ("source kssh '{} sync'", True),
+    ("bash -c \"bash -c '{} a'\"", True),
+    ("ls; {} 'unclosed", False),
+    ("if true; then {} x; fi", False),  # reads as a program
+)
+
+
+@query(f"""SELECT replace(line, '{{}}', event_type || '{catalog.TRACKED_SUFFIX}') AS command, CASE WHEN runs THEN event_type || '{catalog.TRACKED_SUFFIX}' ELSE '' END AS names
+FROM (SELECT DISTINCT event_type FROM events), (VALUES {", ".join("('" + c.replace("'", "''") + f"', {str(r).lower()})" for c, r in COMMANDS)}) v(line, runs)""")
 def token_names(spark, sf_dir):
-    """Tracked names in generated command lines."""
-    rows = lines(spark, sf_dir)
-    command = F.concat(F.lit("cd /x && "), F.when(F.col("k") % 2 == 0, "ssh host '").otherwise(""), F.col("event_type"), F.lit(catalog.TRACKED_SUFFIX), F.lit(" list --k "), F.col("k").cast("string"), F.when(F.col("k") % 2 == 0, "'").otherwise(""))
-    commands = rows.select(command.alias("command")).distinct()
+    """The tracked names that command lines run, by event type: quoting, wrappers, here-documents, loops, assignments."""
+    types = table(spark, sf_dir, "events").select("event_type").distinct()
+    commands = types.select(F.explode(F.array(*(F.concat(F.lit(c.split("{}")[0]), F.col("event_type"), F.lit(catalog.TRACKED_SUFFIX + c.split("{}")[1])) for c, _ in COMMANDS))).alias("command"))
     return commands.select("command", F.array_join(tracked_names(Settings(), F.col("command")), ",").alias("names"))
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
-    return mcp_friction(spark, sf_dir)
+    """Every proposal that the engine finds in the rendered transcripts."""
+    return mined_queries.improvement_proposals(spark, sf_dir)
