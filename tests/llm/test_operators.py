@@ -438,7 +438,22 @@ def test_index_stops_when_covered():
         query[n % 8] ^= 1 << (n % 8)
         apart = np.unpackbits(packed ^ query, axis=1).sum(axis=1)
         want = np.sort(apart)[:10].tolist()
-        assert sorted(d for d, _ in index.nearest(query.view(">u2").astype(np.uint16), 10, sizes))[:10] == want
+        before = index.looked_up
+        assert sorted(d for d, _ in index.nearest(index.values(query[None])[0], 10, sizes))[:10] == want
+        assert index.looked_up - before < 4000 / 2  # the radius is proven by look-ups, far fewer than there are codes
+
+
+def test_segments_of_any_width():
+    rng = np.random.default_rng(6)
+    for n, size in ((1, 1), (2, 3), (5, 8), (100, 5), (700, 2)):
+        packed = np.unique(rng.integers(0, 256, (n, size), dtype=np.uint8), axis=0)
+        index, sizes = topk_hamming.MultiIndex(packed), rng.integers(1, 4, len(packed))
+        for query in rng.integers(0, 256, (10, size), dtype=np.uint8):
+            d = np.unpackbits(packed ^ query, axis=1).sum(axis=1)
+            order = np.argsort(d, kind="stable")
+            reach = d[order][min(np.searchsorted(np.cumsum(sizes[order]), 9), len(d) - 1)]
+            got = index.nearest(index.values(query[None])[0], 9, sizes)
+            assert {(int(x), int(e)) for e, x in enumerate(d) if x <= reach} == set(got)
 
 
 # --- quality --------------------------------------------------------------------------------------------------------

@@ -2,12 +2,15 @@
 
 A vector's code has one bit per dimension, set where the value is positive. Equal codes are one entry, with its k least
 ids. The distinct codes are dealt by hash into shards of at most about ``SHARD`` entries, the distinct query codes into
-blocks of about ``BLOCK``. In each shard a code is filed under each of its 16-bit segments. A query looks up, segment
-after segment, the values at distance 0, then 1, and so on: after segment a (from 0) at distance s of m segments, every
-code within m * s + a bits has been met. It stops when its kth verified distance is no larger. Shards' answers are merged.
+blocks of about ``BLOCK``, or as many as keep the cluster busy while the copies of the index stay few. In each shard a
+code is filed under the value of each of its segments, which have about log2 n bits among n codes, so that a value holds
+about one code and there are no more values than codes. A query looks up, segment after segment, the values at distance
+0, then 1, and so on: after segment a (from 0) at distance s of m segments, every code within m * s + a bits has been met.
+It stops when its kth verified distance is no larger. Shards' answers are merged.
 
 Defined results: rows with a null id or a null vector are neither found nor asked for; a null or missing value gives a 0
-bit; ties in distance go to the smaller id; repeated ids stand for their nearest row; k or fewer rows are all returned.
+bit, a vector of any length counts; ties in distance go to the smaller id; repeated ids stand for their nearest row; k or
+fewer rows are all returned; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +25,18 @@ from pyspark.sql import Window as W
 
 from tracemill.llm import _common
 
-K, SEGMENT = 10, 16
-SHARD, BLOCK = 1 << 20, 1 << 16
+K = 10
+#: Entries of a shard, queries of a block, the least that a block is split for, and rows that copies of the index may have.
+SHARD, BLOCK, LEAST, COPIES = 1 << 20, 1 << 16, 128, 1 << 22
+#: Fewest and most bits of a segment.
+NARROWEST, WIDEST = 4, 20
 
 
 def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, code): code is the sign bits as bytes, a whole number of segments."""
+    """(id, code): code is the sign bits as whole bytes."""
     kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where("id is not null and vector is not null")
     longest = kept.agg(F.max(F.size("vector")).alias("n")).first().n or 0
-    width = -(-max(longest, 1) // SEGMENT) * SEGMENT
+    width = -(-max(longest, 1) // 8) * 8
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(1)
@@ -48,26 +54,32 @@ class MultiIndex:
     """Codes of one shard by segment value."""
 
     def __init__(self, packed: np.ndarray):
-        self.codes = np.ascontiguousarray(packed).view(">u2").astype(np.uint16)  # (n, m)
-        self.n, self.m = self.codes.shape
+        self.n, bits = len(packed), packed.shape[1] * 8
+        widest = min(WIDEST, max(NARROWEST, self.n.bit_length() - 1))
+        self.m = -(-bits // widest)
+        self.edges = [bits * a // self.m for a in range(self.m + 1)]
+        self.codes = self.values(packed)
         self.order = [np.argsort(self.codes[:, a], kind="stable") for a in range(self.m)]
-        self.begin = [np.searchsorted(self.codes[o, a], np.arange((1 << SEGMENT) + 1)) for a, o in enumerate(self.order)]
+        self.begin = [np.searchsorted(self.codes[o, a], np.arange((1 << self.width(a)) + 1)) for a, o in enumerate(self.order)]
+        self.looked_up = 0  # values that were looked up
+
+    def width(self, a: int) -> int:
+        return self.edges[a + 1] - self.edges[a]
+
+    def values(self, packed: np.ndarray) -> np.ndarray:
+        """The segments of each code as numbers."""
+        bits = np.unpackbits(packed, axis=1)
+        return np.stack([bits[:, a:b].astype(np.uint32) @ (np.uint32(1) << np.arange(b - a, dtype=np.uint32)[::-1]) for a, b in zip(self.edges, self.edges[1:], strict=False)], axis=1)
 
     def nearest(self, query: np.ndarray, k: int, sizes: np.ndarray) -> list[tuple[int, int]]:
         """(distance, entry) of the nearest entries, until their sizes add up to k and the kth distance is covered."""
         found_d, found_e = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        held = np.zeros(self.m * SEGMENT + 1, np.int64)  # ids at each distance
-        for s in range(SEGMENT + 1):
-            flips = flips_of(s)
-            if len(flips) > self.n:  # looking up costs more than comparing all that is left
-                apart = np.bitwise_count(self.codes ^ query)
-                rest = apart.min(axis=1) >= s
-                found_e.append(np.flatnonzero(rest))
-                found_d.append(apart[rest].sum(axis=1, dtype=np.int64))
-                break
+        held = np.zeros(self.edges[-1] + 1, np.int64)  # ids at each distance
+        for s in range(max(self.width(a) for a in range(self.m)) + 1):
             for a in range(self.m):
-                probes = flips ^ query[a]
-                low, width = self.begin[a][probes], self.begin[a][probes.astype(np.int64) + 1] - self.begin[a][probes]
+                probes = (flips_of(self.width(a), s) ^ query[a]).astype(np.int64)
+                self.looked_up += len(probes)
+                low, width = self.begin[a][probes], self.begin[a][probes + 1] - self.begin[a][probes]
                 if total := int(width.sum()):
                     at = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(total)
                     entry = self.order[a][at]
@@ -91,13 +103,14 @@ class MultiIndex:
         return list(zip(d[:last].tolist(), e[:last].tolist(), strict=True))
 
 
-_flips: dict[int, np.ndarray] = {}
+_flips: dict[tuple[int, int], np.ndarray] = {}
 
 
-def flips_of(s: int) -> np.ndarray:
-    if s not in _flips:
-        _flips[s] = np.array([sum(1 << i for i in c) for c in combinations(range(SEGMENT), s)], np.uint16)
-    return _flips[s]
+def flips_of(width: int, s: int) -> np.ndarray:
+    """All numbers of ``width`` bits of which s are set."""
+    if (width, s) not in _flips:
+        _flips[width, s] = np.array([sum(1 << i for i in c) for c in combinations(range(width), s)], np.uint32)
+    return _flips[width, s]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -111,7 +124,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     entries = coded.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k)
     entries = tables.keep(entries.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     questions = tables.keep(asked.select("code").distinct())
-    shards, blocks = _common.partitions(entries.count(), SHARD), _common.partitions(questions.count(), BLOCK)
+    n, n_asked, busy = entries.count(), questions.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    shards = _common.partitions(n, SHARD)
+    blocks = max(_common.partitions(n_asked, BLOCK), min(_common.partitions(n_asked, LEAST), -(-busy // shards), COPIES // max(n, 1)))
     left = entries.select("code", "ids", F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = questions.select("code", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).alias("block"))
 
@@ -122,7 +137,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
             index, ids = MultiIndex(matrix(ours)), ours.column("ids").to_pylist()
             sizes = np.array([len(x) for x in ids])
             asked = theirs.column("code").to_pylist()
-            for code, query in zip(asked, matrix(theirs).copy().view(">u2").astype(np.uint16), strict=True):
+            for code, query in zip(asked, index.values(matrix(theirs)), strict=True):
                 hits = sorted((d, i) for d, e in index.nearest(query, k, sizes) for i in ids[e])
                 best: dict[int, int] = {}
                 for d, i in hits:
