@@ -15,8 +15,9 @@ equals; what occurs once is dropped.
   the anchor, half more to the right; each zone goes to two narrower groups. What is alone there is dropped, what is
   equal there is settled. After about log2(length - ANCHOR) rounds a group is one string.
 
-No task holds all occurrences of a frequent anchor. One that occurs ``OFTEN`` times in one Arrow batch is hot: its zones
-are counted with partial sums and met again in joins, whose large sides Spark splits; the rest is counted in one shuffle.
+No task holds all occurrences of a frequent anchor. What a zone has twice in one Arrow batch is settled there, and one
+occurrence stands for the others. An anchor that still has ``OFTEN`` zones in one batch is hot: its zones are counted with
+partial sums and met again in joins, whose large sides Spark splits; the rest is counted in one shuffle.
 
 Rows are known by doc_id where it is unique and not null, else by a hash of id and text. Defined results: a null or
 empty text has no bytes and no spans; repeated rows are documents of their own (each of them is a copy of the other), so
@@ -31,7 +32,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,7 +45,7 @@ LENGTH, ANCHOR = 400, 256
 ZONES, SORTED_BYTES = 1024, 1 << 20
 #: Row keys (8 bytes each) that are broadcast to pick rows; beyond, rows are picked by a shuffled join.
 BROADCAST_ROWS = 500_000
-#: Occurrences of an anchor in one Arrow batch that make it hot.
+#: Zones of an anchor in one Arrow batch that make it hot.
 OFTEN = 16
 
 
@@ -88,7 +89,8 @@ def anchors_of(data: np.ndarray, row_at: np.ndarray, length: int, anchor: int) -
 def _occurrences(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """anchor, zone, row, place of every chosen anchor; place packs the position and the bytes before and after.
 
-    often: how many times the anchor occurs in its Arrow batch.
+    same: how many times the zone occurs in its Arrow batch; the first of these leads, and its ``often`` tells how many
+    zones the anchor has in the batch; for the others it is 0.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -100,10 +102,13 @@ def _occurrences(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             row, place, h, zone, before, after = anchors_of(data[at[first] : at[end]], row_at, length, anchor)
             parts.append((h.view(np.int64), zone.view(np.int64), keys[first:end][row], place << 24 | before << 12 | after))
         h, zone, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, which, count = np.unique(h, return_inverse=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, zone, row, place, count[which].astype(np.int32))], ["anchor", "zone", "row", "place", "often"])
+        _, lead, which, same = np.unique(zone, return_index=True, return_inverse=True, return_counts=True)
+        _, of, zones = np.unique(h[lead], return_inverse=True, return_counts=True)
+        often = np.zeros(len(h), np.int32)
+        often[lead] = zones[of]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, zone, row, place, same[which].astype(np.int32), often)], ["anchor", "zone", "row", "place", "same", "often"])
 
-    return docs.select("row", "text").mapInArrow(_common.per_batch(run), "anchor long, zone long, row long, place long, often int")
+    return docs.select("row", "text").mapInArrow(_common.per_batch(run), "anchor long, zone long, row long, place long, same int, often int")
 
 
 def _position(place="place"):
@@ -213,9 +218,9 @@ def _compare(zones: DataFrame, length: int, anchor: int, total: int) -> DataFram
     return zones.withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("int")).groupBy("task").applyInArrow(run, "row long, begin long, end long")
 
 
-def _kinds(members: DataFrame, group: str, whole: str, place: list[str], tables: _common.Tables) -> DataFrame:
+def _kinds(members: DataFrame, group: str, whole: str, place: list[str], stands_for: Column, tables: _common.Tables) -> DataFrame:
     """group, whole, equal, least (the first place of that whole), kinds and fewest (of its group); partial sums throughout."""
-    per = tables.keep(members.groupBy(group, whole).agg(F.count("*").alias("equal"), F.min(F.struct(*place)).alias("least")))
+    per = tables.keep(members.groupBy(group, whole).agg(F.sum(stands_for).alias("equal"), F.min(F.struct(*place)).alias("least")))
     around = tables.keep(per.groupBy(group).agg(F.count("*").alias("kinds"), F.min("equal").alias("fewest")))
     return per.join(F.broadcast(around) if around.count() <= BROADCAST_ROWS else around, group).where("equal > 1 OR kinds > 1 AND fewest = 1")
 
@@ -240,7 +245,7 @@ def _refine(zones: DataFrame, length: int, slack: int, tables: _common.Tables) -
             half = current.where((before >= a) & (before - b + length <= size))
             halves.append(half.select(F.xxhash64("grp", a, b, core).alias("grp"), "row", (F.col("begin") + begin).alias("begin"), "single", (before - begin).alias("before"), F.substring("body", begin + 1, end - begin).alias("body"), a.alias("low"), b.alias("high")))
         sized = tables.keep(_union(halves).withColumn("whole", F.xxhash64("body", "before")))
-        kinds = tables.keep(_kinds(sized, "grp", "whole", ["row", "begin"], tables))
+        kinds = tables.keep(_kinds(sized, "grp", "whole", ["row", "begin"], F.lit(1), tables))
         sized = sized.join(kinds, ["grp", "whole"]).withColumn("first", F.struct("row", "begin") == F.col("least"))
         sized = tables.keep(sized.select(*names, "first", "equal", "kinds", "fewest"))
         spans.append(sized.where(F.expr("equal > 1 AND single") & (size >= length)).select("row", "begin", (F.col("begin") + size).alias("end")))
@@ -258,24 +263,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _found(seen: DataFrame) -> DataFrame:
+def _found(leads: DataFrame) -> DataFrame:
     """anchor, row, place, n, zones of what is repeated; compare: it stands for its zone in a comparison.
 
     n: occurrences of the zone; zones: of the anchor; only_compare: the same occurrence has another row, without this.
     """
     same, around = W.partitionBy("anchor", "zone"), W.partitionBy("anchor")
     first = F.row_number().over(same.orderBy("row", "place")) == 1
-    seen = seen.repartition("anchor").withColumn("first", first).withColumn("n", F.count("*").over(same))
+    seen = leads.repartition("anchor").withColumn("first", first).withColumn("n", F.sum("same").over(same))
     seen = seen.withColumns({"fewest": F.min("n").over(around), "zones": F.sum(F.col("first").cast("int")).over(around)})
     open_group = F.expr("zones > 1 AND fewest = 1")
     return seen.where((F.col("n") > 1) | open_group).select("anchor", "row", "place", "n", "zones", (F.col("first") & open_group).alias("compare"), F.lit(False).alias("only_compare"))
 
 
-def _found_hot(seen: DataFrame, tables: _common.Tables) -> DataFrame:
+def _found_hot(leads: DataFrame, tables: _common.Tables) -> DataFrame:
     """The same for anchors that occur too often to meet in one task."""
-    kinds = tables.keep(_kinds(seen, "anchor", "zone", ["row", "place"], tables))
+    kinds = tables.keep(_kinds(leads, "anchor", "zone", ["row", "place"], F.col("same"), tables))
     many = tables.keep(kinds.where("equal > 1").select("anchor", "zone", F.col("equal").alias("n"), F.col("kinds").alias("zones")))
-    all_of = seen.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, ["anchor", "zone"])
+    alone = leads.where("same = 1")  # the others are settled
+    all_of = alone.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, ["anchor", "zone"])
     all_of = all_of.select("anchor", "row", "place", "n", "zones", F.lit(False).alias("compare"), F.lit(False).alias("only_compare"))
     compared = kinds.where("kinds > 1 AND fewest = 1").select("anchor", F.col("least.row").alias("row"), F.col("least.place").alias("place"), F.col("equal").alias("n"), F.col("kinds").alias("zones"))
     return all_of.unionByName(compared.withColumns({"compare": F.lit(True), "only_compare": F.lit(True)}))
@@ -287,10 +293,12 @@ def repeated_spans(rows: DataFrame, tables: _common.Tables, length: int = LENGTH
     if not 0 < slack < 4096:
         raise ValueError("the anchor must be shorter than the string, by less than 4096 bytes")
     seen = tables.keep(_occurrences(rows, length, anchor))
-    hot = tables.keep(seen.where(F.col("often") >= OFTEN).select("anchor").distinct())
+    leads = seen.where("often > 0")
+    hot = tables.keep(leads.where(F.col("often") >= OFTEN).select("anchor").distinct())
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-    found = tables.keep(_found(seen.join(hot, "anchor", "left_anti")).unionByName(_found_hot(seen.join(hot, "anchor", "left_semi"), tables)))
-    whole = found.where((F.col("n") > 1) & ~F.col("only_compare") & (_end(anchor) - _begin() >= length)).select("row", _begin().alias("begin"), _end(anchor).alias("end"))
+    found = tables.keep(_found(leads.join(hot, "anchor", "left_anti")).unionByName(_found_hot(leads.join(hot, "anchor", "left_semi"), tables)))
+    whole = seen.where("same > 1").select("row", "place").unionByName(found.where("n > 1 AND NOT only_compare").select("row", "place"))
+    whole = whole.where(_end(anchor) - _begin() >= length).select("row", _begin().alias("begin"), _end(anchor).alias("end"))
     wanted = found.where("compare").select("anchor", "row", "place", (F.col("n") == 1).alias("single"), "zones")
     zones = tables.keep(_zones(rows, wanted, anchor, tables))
     sizes = zones.agg(F.sum(F.when(F.col("many"), 0).otherwise(F.octet_length("body"))).alias("few"), F.count(F.when(F.col("many"), 1)).alias("many")).first()
