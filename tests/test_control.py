@@ -2,6 +2,7 @@
 
 import json
 import os
+from pathlib import Path
 
 import pytest
 
@@ -13,31 +14,37 @@ from tracemill.sources import control, transcripts
 
 
 def test_state_is_lenient_and_the_registry_strict(tmp_path):
-    assert control.load_state(tmp_path)["seen_proposal_keys"] == [] and control.load_resolutions(tmp_path) == {}
+    assert control.load_state(tmp_path)["seen_proposal_keys"] == [] and control.Registry.load(tmp_path).documents() == {}
     for broken in ("{", "[]"):
         (tmp_path / "state.json").write_text(broken)
         (tmp_path / "resolutions.json").write_text(broken)
         assert control.load_state(tmp_path)["seen_proposal_keys"] == []
         with pytest.raises(ValueError):
-            control.load_resolutions(tmp_path)
+            control.Registry.load(tmp_path)
 
 
 def test_resolutions_cut_the_history(tmp_path):
     runs = ["r1", "20310101T000000Z", "20310103T000000Z"]
     control.write_json(tmp_path / "state.json", {"target_run_history": {"tool:a": runs, "tool:b": runs[:2]}})
     entry = {"decision": "Fixed", "resolved_at": "2031-01-02T00:00:00Z"}
-    control.update_resolutions(tmp_path, {"tool:a": entry, "tool:b": entry})
+    target, known = control.Target.parse, control.Registry.load(tmp_path)
+    known.record({target(t): control.Resolution.parse(entry) for t in ("tool:a", "tool:b")})
     assert control.load_state(tmp_path)["target_run_history"] == {"tool:a": runs[2:]}
+    for broken in ({"decision": "maybe", "resolved_at": "2031-01-02"}, {"decision": "fixed"}, []):
+        with pytest.raises(ValueError):
+            control.Resolution.parse(broken)
+    assert set(control.Registry.load(tmp_path).documents()) == {"tool:a", "tool:b"}
     with pytest.raises(ValueError):
-        control.update_resolutions(tmp_path, {"tool:c": entry, "tool:d": {"decision": "maybe"}})
-    assert set(control.load_resolutions(tmp_path)) == {"tool:a", "tool:b"}
+        known.forget(target("tool:z"))
+    known.forget(target("tool:a"))
+    assert set(control.Registry.load(tmp_path).documents()) == {"tool:b"}
 
 
 def test_decisions(tmp_path, capsys):
     path = tmp_path / "d.json"
     path.write_text(json.dumps({"decisions": [{"target": "tool:a", "decision": "wontfix"}, {"route_target": "backlog:b", "decision": "fixed", "resolved_at": "2031-01-01T00:00:00Z", "pr": 3}]}))
     assert cli.main(["--output-root", str(tmp_path), "--resolve-from", str(path), "--by", "me"]) == 0
-    got = control.load_resolutions(tmp_path)
+    got = control.Registry.load(tmp_path).documents()
     assert got["tool:a"]["by"] == "me" and got["backlog:b"] == {"decision": "fixed", "resolved_at": "2031-01-01T00:00:00+00:00", "pr": "3", "note": "", "by": "me"}
     path.write_text(json.dumps({"decisions": [{"target": "tool:a", "decision": "fixed"}] * 2}))
     assert cli.main(["--output-root", str(tmp_path), "--resolve-from", str(path)]) == 2
@@ -66,9 +73,9 @@ def test_window_and_choice(tmp_path):
     (tmp_path / "again").mkdir()
     (tmp_path / "again/.claude").symlink_to(tmp_path / ".claude")
     files = transcripts.discover([tmp_path, tmp_path / "again", tmp_path / "none"])
-    assert [p.stem for _, p, _ in files] == ["2", "1", "0"]
-    chosen = transcripts.choose(files, files[1][2], 1)
-    assert [p.stem for _, p, _ in chosen] == ["0"] and len(transcripts.choose(files, files[1][2])) == 2
+    assert [Path(f.path).stem for f in files] == ["2", "1", "0"]
+    chosen = transcripts.choose(files, files[1].mtime, 1)
+    assert [Path(f.path).stem for f in chosen] == ["0"] and len(transcripts.choose(files, files[1].mtime)) == 2
 
 
 def test_source_tree(tmp_path):

@@ -6,8 +6,11 @@ from pathlib import Path
 import pytest
 from transcripts import claude, codex, in_claude, in_codex, result, use
 
+from pyspark.sql import functions as F
+
 from tracemill import cli
 from tracemill.config import Settings
+from tracemill.operators import normalize
 from tracemill.plans import scan
 from tracemill.sources import transcripts
 
@@ -147,6 +150,30 @@ def test_session_index(mined):
     assert rows["project"].cwd == "/work/tool" and rows["project"].correction_count == 1
 
 
+def test_one_file_in_many_splits(spark, tmp_path):
+    """A file's lines are numbered right however it is cut, and what follows each line is found in one pass."""
+    base, n = tmp_path / ".claude/projects/p", 20_000
+    base.mkdir(parents=True)
+    texts = [json.dumps({"type": "assistant", "message": {"role": "assistant", "content": f"step {k}"}}) if k % 3 else ["", "{broken", "é\x85\u2028 \x0b"][k // 3 % 3] for k in range(n)]
+    (base / "long file+1.jsonl").write_bytes("\r\n".join(texts).encode() + b"\n\xff\n")
+    (base / "short.jsonl").write_text(texts[1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64 << 10)
+    try:
+        for home in (tmp_path, tmp_path.as_uri()):
+            files = transcripts.discover([home], spark=spark)
+            assert len(files) == 2
+            lines = transcripts.read_lines(spark, files)
+            got = {r.line: r.raw for r in lines.where("path LIKE '%long%'").collect()}
+            assert sorted(got) == list(range(1, n + 2)) and [got[k + 1] for k in range(n)] == texts and got[n + 1] == "\ufffd"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = normalize.with_context(normalize.normalized(transcripts.records(lines)), Settings()).where("path LIKE '%long%'")
+    nexts = {r.line: r.next for r in rows.select("line", F.col("next_step.line").alias("next")).collect()}
+    steps = [k + 1 for k in range(n) if k % 3]
+    assert nexts == dict(zip(steps, [*steps[1:], None], strict=True))
+    assert transcripts.discover([f"{tmp_path.as_uri()}/none"], spark=spark) == []
+
+
 def test_order_of_partitions_does_not_matter(spark, mined):
     home, _, _, before = mined
     files = transcripts.choose(transcripts.discover([home]))
@@ -164,7 +191,7 @@ def test_scan_and_lifecycle(spark, mined, tmp_path, capsys):
     staged = sorted(root.glob("proposals/*/*.json"))
     assert f"proposals={len(staged)}" in said and staged
     first = json.loads((root / "state.json").read_text())
-    lines = (root / "session-index.jsonl").read_text().splitlines()
+    lines = [x for p in sorted((root / "session-index.jsonl").glob("part-*")) for x in p.read_text().splitlines()]
     packet = next((root / "review-packets").iterdir()).read_text()
     assert "## Session Index" in packet and f"### {staged[0].stem}" in packet
     # again: everything is seen, and no session is indexed twice

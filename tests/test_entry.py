@@ -21,7 +21,7 @@ def db(sf_dir):
 def test_query(spark, db, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)
     rows = sorted(tuple(str(r[c]) for c in sorted(got.columns)) for r in got.collect())
-    assert rows
+    assert rows or name in SQL  # the smallest tables may hold nothing to propose
     if name in SQL:
         found = db.execute(SQL[name])
         names = [c[0] for c in found.description]

@@ -22,7 +22,7 @@ INDEX_FIELDS = ["source", "path", "session_id", "cwd", "started_at", "ended_at",
 
 @dataclass(frozen=True)
 class Options:
-    homes: tuple[Path, ...]
+    homes: tuple[Path | str, ...]
     output: Path
     source: str = "all"
     route: str = "improvement"
@@ -109,15 +109,15 @@ def run(spark: SparkSession, options: Options) -> int:
     settings = replace(Settings().with_overrides(control.load_config(options.config) if options.config else {}), full=options.full)
     state = control.load_state(options.output)
     try:
-        resolutions = control.load_resolutions(options.output)
+        resolutions = control.Registry.load(options.output).documents()
     except ValueError as problem:
         print(f"error: {problem}", file=sys.stderr)
         return 2
     begun, window = control.now(), since(options, state)  # the cursor is taken before the files are listed
     run_id = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
-    files = transcripts.choose(transcripts.discover(list(options.homes), options.source), window, options.max_sessions)
+    files = transcripts.choose(transcripts.discover(list(options.homes), options.source, spark), window, options.max_sessions)
     calls, found, index = mine(transcripts.read_lines(spark, files), settings)
-    stats = parse_stats(calls, transcripts.file_table(spark, files))
+    stats = parse_stats(calls, transcripts.file_table(spark, files).drop("uri"))
     warned = [r.warning for r in health_warnings(stats).orderBy("source").collect()]
     for warning in warned:
         print(f"warning: {warning}", file=sys.stderr)
@@ -165,19 +165,13 @@ def run(spark: SparkSession, options: Options) -> int:
 
 
 def index_new_sessions(spark: SparkSession, index: DataFrame, path: Path) -> int:
-    """Append the sessions that are not on record with the same end; return how many."""
-    picked = index.select(*INDEX_FIELDS, "session_ord")
+    """Append the sessions that are not on record with the same end, by the executors; return how many.
+
+    The record is a folder of JSON lines with sorted keys.
+    """
+    picked = index.select(*sorted(INDEX_FIELDS), "session_ord")
     if path.exists():
-        known = spark.read.schema("path string, ended_at string").json(str(path))
-        picked = lifecycle.new_rows(picked, known)
-    count = 0
-
-    def rows():
-        nonlocal count
-        for row in picked.orderBy("session_ord").toLocalIterator():
-            count += 1
-            yield {k: row[k] for k in INDEX_FIELDS}
-
-    fresh = list(rows())  # a row per new session; the file is one machine's record
-    control.append_lines(path, fresh)
-    return count
+        picked = lifecycle.new_rows(picked, spark.read.schema("path string, ended_at string").json(str(path)))
+    picked = shared.keep(picked, "new-sessions")  # it reads what it is about to extend
+    picked.orderBy("session_ord").drop("session_ord").write.mode("append").option("ignoreNullFields", False).json(str(path))
+    return picked.count()

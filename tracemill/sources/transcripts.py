@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracemill.functions import text as tx
 
@@ -15,42 +18,81 @@ ROOTS = (("claude", ".claude/projects"), ("codex", ".codex/sessions"))
 FILES = "source string, path string, mtime timestamp, session_ord long"
 
 
-def discover(homes: list[Path], source: str = "all") -> list[tuple[str, Path, dt.datetime]]:
-    """(dialect, file, mtime) of every transcript: homes in order, each file once however it is reached.
+@dataclass(frozen=True)
+class File:
+    """A transcript: its dialect, the path that is shown and read, the name that its lines carry, and its time."""
 
-    A listing, which belongs on the driver; what the files hold is read by the cluster.
-    """
-    found: dict[Path, tuple[str, Path, dt.datetime]] = {}
-    for home in homes:
-        for dialect, root in ROOTS:
-            if source in ("all", dialect) and (base := home.expanduser() / root).exists():
-                timed = sorted(((p.stat().st_mtime, p) for p in base.glob("**/*.jsonl")), key=lambda x: x[0])
-                for mtime, path in timed:
-                    found.setdefault(path.resolve(), (dialect, path, dt.datetime.fromtimestamp(mtime, dt.timezone.utc)))
+    source: str
+    path: str
+    uri: str
+    mtime: dt.datetime
+
+
+def _name() -> Column:
+    """The file that a row comes from, as its path is spelt, with its scheme."""
+    return F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
+
+
+def _on_this_machine(root: Path, dialect: str) -> list[tuple[str, File]]:
+    """(resolved path, file), so that a file that links reach twice is one."""
+    out = []
+    for path in root.glob("**/*.jsonl"):
+        mtime = dt.datetime.fromtimestamp(path.stat().st_mtime, dt.timezone.utc)
+        out.append((str(path.resolve()), File(dialect, str(path), f"file://{path.absolute()}", mtime)))
+    return out
+
+
+def _in_a_store(spark: SparkSession, root: str, dialect: str) -> list[tuple[str, File]]:
+    """The same under a path that Spark's readers open; what the files hold is not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+    try:
+        listed = reader.load(root).select("path", _name().alias("uri"), "_metadata.file_modification_time").collect()  # a row per file, as in Spark's own file index
+    except AnalysisException:
+        return []
+    return [(r.path, File(dialect, r.path, r.uri, r.file_modification_time.astimezone(dt.timezone.utc))) for r in listed]
+
+
+def discover(homes: list[Path | str], source: str = "all", spark: SparkSession | None = None) -> list[File]:
+    """Every transcript: homes in order, each file once however it is reached. A home with a scheme is listed by Spark."""
+    found: dict[str, File] = {}
+    for home in map(str, homes):
+        for dialect, under in ROOTS:
+            if source in ("all", dialect):
+                listed = _in_a_store(spark, f"{home.rstrip('/')}/{under}", dialect) if "://" in home else _on_this_machine(Path(home).expanduser() / under, dialect)
+                for name, file in sorted(listed, key=lambda x: x[1].mtime):
+                    found.setdefault(name, file)
     return list(found.values())
 
 
-def choose(files: list[tuple[str, Path, dt.datetime]], since: dt.datetime | None = None, newest: int = 0) -> list[tuple[str, Path, dt.datetime]]:
+def choose(files: list[File], since: dt.datetime | None = None, newest: int = 0) -> list[File]:
     """Files from ``since`` on (inclusive), oldest first, at most the ``newest`` of them."""
-    kept = sorted((f for f in files if since is None or f[2] >= since), key=lambda f: f[2])
+    kept = sorted((f for f in files if since is None or f.mtime >= since), key=lambda f: f.mtime)
     return kept[-newest:] if newest else kept
 
 
-def file_table(spark: SparkSession, files: list[tuple[str, Path, dt.datetime]]) -> DataFrame:
-    return spark.createDataFrame([(s, str(p), m, n) for n, (s, p, m) in enumerate(files)], FILES)
+def file_table(spark: SparkSession, files: list[File]) -> DataFrame:
+    return spark.createDataFrame([(f.source, f.path, f.mtime, n, f.uri) for n, f in enumerate(files)], f"{FILES}, uri string")
 
 
-def read_lines(spark: SparkSession, files: list[tuple[str, Path, dt.datetime]]) -> DataFrame:
+def read_lines(spark: SparkSession, files: list[File]) -> DataFrame:
     """source, path, mtime, session_ord, line, raw: lines are numbered from 1, blank and broken ones included.
 
-    A file is one task's work, as its lines have no numbers otherwise; bytes that are no UTF-8 become U+FFFD.
+    A file of any size is read in splits by many tasks: a line's number is its place in its split, after the lines of the
+    splits before. Bytes that are no UTF-8 become U+FFFD; no more than one line is held at a time.
     """
-    schema = f"{FILES}, line int, raw string"
     if not files:
-        return spark.createDataFrame([], schema)
-    table = spark.createDataFrame([(s, str(p), m, n, p.absolute().as_uri()) for n, (s, p, m) in enumerate(files)], f"{FILES}, uri string")
-    whole = spark.read.text([str(p) for _, p, _ in files], wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("uri"), "value")
-    return number_lines(whole.join(table, "uri"), "value").select("source", "path", "mtime", "session_ord", "line", "raw")
+        return spark.createDataFrame([], f"{FILES}, line int, raw string")
+    lines = spark.read.text([f.path for f in files]).select(_name().alias("uri"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("raw"))
+    return numbered(lines).join(file_table(spark, files), "uri").select("source", "path", "mtime", "session_ord", "line", "raw")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """lines (uri, split, at, raw) with their number in the file; ``at`` ascends within a split."""
+    counts = lines.groupBy("uri", "split").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(W.partitionBy("uri").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    splits = counts.select("uri", "split", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    placed = lines.withColumn("place", F.row_number().over(W.partitionBy("uri", "split").orderBy("at")))
+    return placed.join(splits, ["uri", "split"]).select("uri", (F.col("ahead") + F.col("place")).cast("int").alias("line"), "raw")
 
 
 def number_lines(texts: DataFrame, column: str) -> DataFrame:
