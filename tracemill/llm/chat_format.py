@@ -11,8 +11,9 @@ at most) and tells each partition with what scores it begins and in which state
 
 Defined results: a null or empty text is one empty line; a null role counts for nothing in training; a null
 conversation id is a conversation of its own kind, a null turn comes first; rows of one turn are ordered by text;
-repeated rows are entries of their own; other columns are ignored; without labelled entries all states are equally
-likely and the first role is recovered.
+repeated rows are entries of their own; of paths that are equally likely the one through the first states is taken; other
+columns are ignored, whatever their names; an empty table gives an empty result; an entry is one row however long; without
+labelled entries all states are equally likely and the first role is recovered.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ span every ratio that can occur, so none is cut off; an estimate lies between 1
 of each kind are in use, and what reaches the driver grows with the square of the logarithm of the corpus.
 
 Words are known by 64-bit hashes. Defined results: a null or empty text is one end token; a document with a null id is
-held out (it belongs to no fold); repeated rows count each; other columns are ignored; without training documents N and V
-are 0 and every token is unknown.
+held out (it belongs to no fold); repeated rows count each; ties do not arise; other columns are ignored, whatever their
+names; an empty table gives an empty result; without training documents N and V are 0 and every token is unknown. A text
+longer than a block is a block of its own, some tens of bytes of memory for each of its own.
 """
 
 from __future__ import annotations

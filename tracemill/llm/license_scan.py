@@ -9,7 +9,9 @@ band are compared exactly: of the template's distinct shingles, the window must
 Templates are a driver-side list, sent out in groups of at most ``GROUP`` shingles: each group scans the texts once.
 
 Defined results: a null or empty text matches nothing; a null document id is returned as null; repeated rows match each;
-other columns are ignored; a template of fewer than five words is an error.
+other columns are ignored, whatever their names; an empty table gives an empty result; of windows that hold as much of a
+template the first counts, of templates that tie for a stretch the first by name order of the list; a template of fewer
+than five words is an error. A text is read whole, some tens of bytes of memory for each of its own.
 """
 
 from __future__ import annotations

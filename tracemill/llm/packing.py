@@ -6,7 +6,8 @@ a fixed number of bins is open at once, kept in lists by free space, and a bitse
 goes to the open bin with the least free space that holds it. When too many bins are open, the fullest closes.
 
 Defined results: a null or empty text is one piece, the end token alone; a null document id is packed like any other;
-repeated rows are packed each; other columns are ignored.
+repeated rows are packed each; of bins with as little free space the one that came to it last takes a piece; other columns are ignored,
+whatever their names; an empty table gives an empty result. A text is tokenised whole, whatever its length.
 """
 
 from __future__ import annotations

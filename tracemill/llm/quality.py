@@ -14,7 +14,8 @@ Host and path come from ``source``: of a URL its host and first directory; else
 Defined results: a null or empty text has no words and an empty shape; a null source or language is the empty site; a
 null document id is scored like any other; labels with a null id or value count for nothing; several labels of one
 document count as the least quality and the most toxic; without labels every document's evidence is even and it is
-accepted; repeated rows are scored each; other columns are ignored.
+accepted; repeated rows are scored each; odds that are even count as accepted; other columns are ignored, whatever their
+names; an empty table gives an empty result. A text is read whole, some tens of bytes of memory for each of its own.
 """
 
 from __future__ import annotations

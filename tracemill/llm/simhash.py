@@ -9,8 +9,9 @@ that block in front. Fingerprints within the radius agree in some block, so an e
 every one of them; the join's condition compares all bits, and takes a match only in the first table that shows it.
 
 Defined results: a null or empty text has fingerprint zero; null ids come first in the order; rows with equal ids are
-ordered by text, then in any order (they are equal); repeated rows are returned each; other columns are ignored; an
-empty table gives an empty result.
+ordered by text, then in any order (they are equal); repeated rows are returned each; a bit that half of the weight voted
+for is 0; other columns are ignored, whatever their names; an empty table gives an empty result. A text is split into its
+terms whole, in one row's memory.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def edited(text: Column, after: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, bits: int = BITS, chars: int = STRETCH) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp for each row: one shuffle of the texts, by stretch."""
     rows = with_next(docs, chars).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
-    facts = F.when(F.col("which") == 0, F.struct("doc_id", "own", F.char_length("text").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")))
+    facts = F.when(F.col("which") == 0, F.struct("doc_id", "own", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")))
     both = rows.withColumn("which", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("facts", facts)
     both = both.select("stretch", "rank", "which", "facts", F.when(F.col("which") == 0, F.col("text")).otherwise(F.col("edited")).alias("body"))
     hashed = both.select("stretch", "rank", "which", "facts.*", "body")

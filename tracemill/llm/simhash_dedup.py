@@ -10,7 +10,9 @@ bits; each set found yields a tree of links, not all pairs. A table entry that h
 cut into blocks, and pairs of blocks are compared in tasks of their own. Components are found by alternating stars.
 
 Defined results: a null or empty text has fingerprint zero; a null document id takes part and never names a component
-(a component of null ids only has a null id); repeated rows are returned each; other columns are ignored.
+(a component of null ids only has a null id); repeated rows are returned each; a bit that half of the votes are for is 0;
+other columns are ignored, whatever their names; an empty table gives an empty result. A text is read whole, some tens of
+bytes of memory for each of its own.
 """
 
 from __future__ import annotations
