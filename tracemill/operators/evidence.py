@@ -67,10 +67,6 @@ def _blamed(output: Column, clis: Column, source: Column) -> Column:
     return F.when(F.size(clis) <= 1, clis).when((F.size(found) == 0) & (source == "claude"), clis).otherwise(found)
 
 
-def _shown(text: Column, most: int, settings: Settings) -> Column:
-    return tx.shorten(tx.redact(text, settings), most, settings)
-
-
 def evidence(rows: DataFrame, settings: Settings) -> DataFrame:
     """The evidence table of normalized records with their context."""
     items = with_calls(items_of(rows), settings)
@@ -89,10 +85,10 @@ def evidence(rows: DataFrame, settings: Settings) -> DataFrame:
     items = items.withColumn("blamed", F.when(F.col("failed") & F.col("bash"), _blamed(output, clis, F.col("source"))).otherwise(F.array().cast("array<string>")))
 
     # words are masked and cut once an item, however many rows they come to stand in
-    tracked = F.size(clis) > 0
-    stands = {"masked_text": (F.col("text"), F.col("correction")), "masked_output": (output, F.expr("failed OR hung")), "masked_payload": (F.col("payload"), F.col("payload").isNotNull())}
-    items = items.withColumns({n: F.when(w, _shown(t, catalog.EXCERPT_CHARS, settings)) for n, (t, w) in stands.items()})
-    items = items.withColumns({"masked_call": F.when(is_call & tracked, _shown(call["command"], catalog.EXCERPT_CHARS, settings)), "masked_command": _shown(call["command"], catalog.COMMAND_CHARS, settings), "masked_sole": F.when(F.col("payload").isNotNull(), _shown(call["sole"], catalog.COMMAND_CHARS, settings))})
+    redacted = {"redacted_text": F.when(F.col("correction"), F.col("text")), "redacted_output": F.when(F.expr("failed OR hung"), output), "redacted_command": call["command"], "redacted_sole": F.when(F.col("payload").isNotNull(), call["sole"])}
+    items = items.withColumns({n: F.when(t.isNotNull(), tx.redact(t, settings)) for n, t in redacted.items()})
+    shown = {"masked_text": ("redacted_text", catalog.EXCERPT_CHARS), "masked_output": ("redacted_output", catalog.EXCERPT_CHARS), "masked_call": ("redacted_command", catalog.EXCERPT_CHARS), "masked_command": ("redacted_command", catalog.COMMAND_CHARS), "masked_sole": ("redacted_sole", catalog.COMMAND_CHARS), "masked_payload": ("payload", catalog.EXCERPT_CHARS)}
+    items = items.withColumns({n: F.when(F.col(t).isNotNull(), tx.shorten(F.col(t), most, settings)) for n, (t, most) in shown.items()})  # a payload is one of a few shapes, with nothing to mask
 
     def found(where, lst, entity, kind, text, tool="", command="", session="session_id", phase=0, sub=None, pos=None, cli_pos=0) -> Column:
         lit = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -110,7 +106,7 @@ def evidence(rows: DataFrame, settings: Settings) -> DataFrame:
     text, output, payload = F.col("masked_text"), F.col("masked_output"), F.col("masked_payload")
     at = (F.col("sub"), F.col("pos"))
     slashes = F.regexp_extract_all("text", F.lit(java(catalog.SLASH_COMMAND)), F.lit(1))
-    brief = lambda t: _shown(t, catalog.EXCERPT_CHARS, settings)
+    brief = lambda t: tx.shorten(tx.redact(t, settings), catalog.EXCERPT_CHARS, settings)
     many = [
         each(F.col("text") != "", slashes, lambda n, k: row("slash", n, catalog.SLASH, brief(F.concat(F.lit("/"), n)), "", "", sid, 0, 0, k, 0)),
         found((F.col("text") != "") & F.col("correction"), "correction", "", catalog.CORRECTION, text, sub=1),
