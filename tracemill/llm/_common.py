@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = "2000", "16m"
+BATCH_ROWS, BATCH_BYTES = "2000", "8m"
 
 
 def lean() -> None:

@@ -42,7 +42,7 @@ from tracemill.llm._bwt import repeated_windows
 
 LENGTH, ANCHOR = 400, 256
 #: Most distinct zones of an anchor that are compared in one go, and bytes of zones in one suffix order.
-ZONES, SORTED_BYTES = 1024, 1 << 20
+ZONES, SORTED_BYTES = 1024, 1 << 19
 #: Row keys (8 bytes each) that are broadcast to pick rows; beyond, rows are picked by a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Zones of an anchor in one Arrow batch that make it hot.
@@ -214,7 +214,7 @@ def _compare(zones: DataFrame, length: int, anchor: int, total: int) -> DataFram
             first = last
         return _spans(out)
 
-    tasks = _common.partitions(total, 8 * SORTED_BYTES)
+    tasks = _common.partitions(total, 16 * SORTED_BYTES)
     return zones.withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("int")).groupBy("task").applyInArrow(run, "row long, begin long, end long")
 
 
