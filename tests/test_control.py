@@ -2,6 +2,8 @@
 
 import json
 import os
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -92,3 +94,10 @@ def test_packet():
     page = packet.render("r", [], 0, [idea], ["w"], [{"target": "tool:z"}], [], False)
     assert page.count("  - `k`") == 8 and "PARSER WARNING: w" in page and "`tool:z`" in page and "## Content privacy notice" in page
     assert "unredacted" in packet.render("r", [], 0, [], full=True) and "No proposals met" in packet.render("r", [], 0, [])
+
+
+def test_wrapper(tmp_path):
+    """The script finds the package from any folder; the registry needs no Spark session."""
+    script = Path(cli.__file__).resolve().parent.parent / "bin" / "tracemill"
+    got = subprocess.run([script, "--output-root", str(tmp_path), "--list-resolutions"], cwd=tmp_path, env=os.environ | {"TRACEMILL_PYTHON": sys.executable}, capture_output=True, text=True)
+    assert got.returncode == 0 and json.loads(got.stdout) == {}
