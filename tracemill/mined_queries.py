@@ -130,6 +130,11 @@ def mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return _mined[at]
 
 
+def forget() -> None:
+    """Mine anew from now on."""
+    _mined.clear()
+
+
 def _text(value) -> str:
     return "NULL" if value is None else str(value).lower() if isinstance(value, (bool, int)) else "'" + value.replace("'", "''") + "'"
 

@@ -93,10 +93,10 @@ def shorten_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.shorten(F.col("text")).alias("excerpt"))
 
 
-@query("SELECT user_id, CAST(ts AS DATE) AS day, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) * 2 - 1 AS INTEGER) AS line, event_id, event_type, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events")
+@query("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) * 2 - 1 AS INTEGER) AS line, event_id, event_type, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events")
 def json_lines_scan(spark, sf_dir):
     """Events written out as numbered JSON lines, one text for a user's day with a blank line after each, and read back."""
-    events = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
+    events = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date").cast("string"))
     one = F.struct("ts", "event_id", F.to_json(F.struct("event_id", "event_type", "props")).alias("line"))
     texts = events.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(one)).alias("found")).select("user_id", "day", F.array_join(F.transform("found", lambda f: f["line"]), "\n\n").alias("value"))
     rows = transcripts.records(transcripts.number_lines(texts, "value"))
