@@ -418,14 +418,16 @@ def test_top_k(spark, monkeypatch):
     rows = [(n, v.astype(float).tolist()) for n, v in enumerate(vectors)] + [(None, [1.0] * 40), (900, None), (1000, [None, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     bits = {n: [x is not None and x > 0 for x in v] + [False] * (40 - len(v)) for n, v in rows if n is not None and v is not None}
-    for shard, block in ((1 << 20, 1 << 16), (64, 2)):
+    for shard, block, few in ((1 << 20, 1 << 16, True), (64, 2, True), (64, 2, False), (1 << 20, 1, False)):
         monkeypatch.setattr(topk_hamming, "SHARD", shard)
         monkeypatch.setattr(topk_hamming, "BLOCK", block)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", few)  # else both sides may meet by chance
         got = topk_hamming.top_k(df, df.where("vec_id % 100 = 0"), 7).collect()
         for q in (0, 100, 200, 1000):
             want = sorted((sum(a != b for a, b in zip(bits[q], v, strict=True)), n) for n, v in bits.items())[:7]
             assert [(r.distance, r.match_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
         assert {r.query_id for r in got} == {0, 100, 200, 1000}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert topk_hamming.top_k(df.limit(0), df.limit(0)).count() == 0
 
 

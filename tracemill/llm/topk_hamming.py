@@ -127,8 +127,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     n, n_asked, busy = entries.count(), questions.count(), vectors.sparkSession.sparkContext.defaultParallelism
     shards = _common.partitions(n, SHARD)
     blocks = max(_common.partitions(n_asked, BLOCK), min(_common.partitions(n_asked, LEAST), -(-busy // shards), COPIES // max(n, 1)))
-    left = entries.select("code", "ids", F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = questions.select("code", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).alias("block"))
+    left = entries.select("code", "ids", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = questions.select("code", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
 
     def search(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         out = []
