@@ -41,6 +41,9 @@ def test_contract(spark, sf_dir, name):
     ids = [r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()]
     if name.startswith(PER_DOCUMENT):
         assert sorted(r.doc_id for r in rows) == sorted(ids)
+    if name.startswith("op5"):
+        known = {r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+        assert Counter(r.query_id for r in rows) == {q: min(10, len(known)) for q in known if q % 100 == 0}
     if name.startswith("op6"):
         assert {r.doc_id for r in rows} == set(ids) and all(0 <= r.ids_crc32 < 1 << 32 and 0 < r.length <= 4096 for r in rows)
         places = defaultdict(list)
