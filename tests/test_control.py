@@ -5,11 +5,13 @@ import os
 import subprocess
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
 from tracemill import cli
 from tracemill.config import Settings
+from tracemill.operators import content
 from tracemill.plans import packet
 from tracemill.plans.scan import Options, since
 from tracemill.sources import control, transcripts
@@ -101,3 +103,12 @@ def test_wrapper(tmp_path):
     script = Path(cli.__file__).resolve().parent.parent / "bin" / "tracemill"
     got = subprocess.run([script, "--output-root", str(tmp_path), "--list-resolutions"], cwd=tmp_path, env=os.environ | {"TRACEMILL_PYTHON": sys.executable}, capture_output=True, text=True)
     assert got.returncode == 0 and json.loads(got.stdout) == {}
+
+
+@pytest.mark.parametrize("private", [False, True])
+def test_content_documents(private):
+    details = dict.fromkeys((c.split(" ")[0] for c in content.DETAILS.split(", ")), "x") | {"confidence": 0.725, "private": private}
+    got = content.content_document(SimpleNamespace(details=json.dumps(details), summary="s"), {"schema_version": 1})
+    assert got["confidence"] == 0.72 and got["schema_version"] == 1 and got["trigger"]["real_workflow_or_moment"] == "s"
+    assert got["privacy"]["risk_level"] == ("high" if private else "low") and ("address books" in got["privacy"]["blocked_details"]) == private
+    assert {"content_type", "recommendation", "audience", "why_interesting", "reader_usefulness", "timeliness", "last30days", "rough_outline", "review", "apply_policy"} <= set(got)
