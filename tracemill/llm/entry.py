@@ -8,6 +8,7 @@ from tracemill.llm.interpolation import op2_lm_scoring
 from tracemill.llm.chat_format import op9_chat_format
 from tracemill.llm.packing import op6_best_fit_packing
 from tracemill.llm.quality import op3_quality_classifier
+from tracemill.llm.sessions import OP11_SQL, op11_sessions
 from tracemill.llm.simhash import op4_simhash_fingerprint
 from tracemill.llm.simhash_dedup import op7_simhash_dedup
 from tracemill.llm.suffix_dedup import op8_suffix_dedup
@@ -26,8 +27,9 @@ def queries():
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_sessions": op11_sessions,
     }
 
 
 def oracle_sql():
-    return {"op5_exact_topk": OP5_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op11_sessions": OP11_SQL}
