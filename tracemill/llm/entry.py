@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracemill.llm.byte_bpe import op10_byte_bpe
+from tracemill.llm.collocations import OP13_SQL, op13_collocations
 from tracemill.llm.license_scan import op1_license_scan
 from tracemill.llm.interpolation import op2_lm_scoring
 from tracemill.llm.chat_format import op9_chat_format
@@ -28,8 +29,9 @@ def queries():
         "op9_chat_format": op9_chat_format,
         "op10_byte_bpe": op10_byte_bpe,
         "op11_sessions": op11_sessions,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql():
-    return {"op5_exact_topk": OP5_SQL, "op11_sessions": OP11_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op11_sessions": OP11_SQL, "op13_collocations": OP13_SQL}
