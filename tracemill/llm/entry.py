@@ -7,6 +7,7 @@ from tracemill.llm.collocations import OP13_SQL, op13_collocations
 from tracemill.llm.license_scan import op1_license_scan
 from tracemill.llm.interpolation import op2_lm_scoring
 from tracemill.llm.chat_format import op9_chat_format
+from tracemill.llm.mixing import op12_mixing
 from tracemill.llm.packing import op6_best_fit_packing
 from tracemill.llm.quality import op3_quality_classifier
 from tracemill.llm.sessions import OP11_SQL, op11_sessions
@@ -29,6 +30,7 @@ def queries():
         "op9_chat_format": op9_chat_format,
         "op10_byte_bpe": op10_byte_bpe,
         "op11_sessions": op11_sessions,
+        "op12_mixing": op12_mixing,
         "op13_collocations": op13_collocations,
     }
 

@@ -259,7 +259,7 @@ def marked_starts(links: DataFrame, tables: _common.Tables) -> DataFrame:
             marks = marks.unionByName(more)
         asked = links.select(F.col("to").alias("at"), "from").unionByName(marks.select(F.col("to").alias("at"), "from"))
         step = links.select(F.col("from").alias("at"), "to", "part", "seq")
-        after = tables.keep(asked.join(step, "at").select("from", "to", "part", "seq"))
+        after = tables.keep(asked.join(step.hint("merge"), "at").select("from", "to", "part", "seq"))
         starts.append(after.where("from IS NULL"))
         links = after.where("from IS NOT NULL")
         left = links.count()
@@ -313,7 +313,7 @@ def cut_chunks(chunks: DataFrame, starts: DataFrame, edges: DataFrame, gap: int)
     lists = starts.groupBy("part", "seq").agg(F.collect_list("id").alias("starts"))
     first = chunks.where("n > 0").groupBy("part").agg(F.min("seq").alias("first_seq"))
     facts = edges.select("part", "hard", "n_client", "n_us").join(first, "part", "left")
-    rows = chunks.select("part", "seq", "next", "before", "clicks").join(lists, ["part", "seq"], "left").join(facts, "part")
+    rows = chunks.select("part", "seq", "next", "before", "clicks").join(lists.hint("merge"), ["part", "seq"], "left").join(facts, "part")
     names = [p.split(" ")[0] for p in PIECES.split(", ")]
     types = _common.arrow_types(chunks.sparkSession, PIECES)
 
