@@ -6,8 +6,8 @@ than the copy before, to sources, which want their quota. The flow of least cost
 allow with as little repetition as they allow; costs are convex, so whole copies come first. Patterns and sources that are
 linked, directly or through others, are solved together, and each such component in a task of its own; what a component
 holds is sets of sources with their sums, whatever the number of documents. Then each pattern's words are found among its
-documents in a seeded order: all of them as often as the flow says, and once more the first of them that fit, with single
-ones that fill what is left.
+documents in a seeded order: all of them as often as the flow says, and once more the first of them that fit, with some
+of the rest that fill what is left.
 
 Quotas: the sources share a given part of all words by weight. A quota stops at ``MOST`` times its source's words, and what
 is over is shared among the others by weight until none is above.
@@ -35,8 +35,8 @@ from tracemill.llm._ordered import numbered, placed, running_sum
 from tracemill.llm.components import connected_components
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 20240501
-#: Single documents that fill a pattern's gap, the largest that fits each time.
-FILLERS = 4
+#: Rounds that fill a pattern's gap with as many documents as fit, and then with the largest one that fits.
+ROUNDS, FILLERS = 3, 2
 
 
 def sized(docs: DataFrame, sources: Column) -> DataFrame:
@@ -160,19 +160,26 @@ def routed(patterns: DataFrame, targets: DataFrame, tables: _common.Tables, most
 
 
 def _filled(rows: DataFrame, gaps: DataFrame, tables: _common.Tables) -> DataFrame:
-    """at: single rows that fill what is left of each pattern's words. rows: pattern, at, size, not taken yet."""
+    """at: rows that fill what is left of each pattern's words. rows: pattern, at, size, not taken yet.
+
+    In each round the first ones that fit, in the seeded order; then the largest one that fits; at last the least one that
+    is left, if that comes nearer."""
     out = None
-    for n in range(FILLERS + 1):
+    for n in range(ROUNDS + FILLERS + 1):
         open_rows = rows.join(gaps.where("gap > 0"), "pattern")
         if out is not None:
             open_rows = open_rows.join(out.select("at"), "at", "left_anti")
-        if n < FILLERS:  # the largest that fits
-            best = open_rows.where("size <= gap").groupBy("pattern").agg(F.max(F.struct("size", (-F.col("at")).alias("back"))).alias("b")).select("pattern", F.col("b.size").alias("size"), (-F.col("b.back")).alias("at"))
-        else:  # the least that is left, if that comes nearer
+        fitting = open_rows.where("size <= gap")
+        if n < ROUNDS:
+            best = running_sum(fitting, "pattern", "size").where("upto <= gap").select("pattern", "size", "at")
+        elif n < ROUNDS + FILLERS:
+            best = fitting.groupBy("pattern").agg(F.max(F.struct("size", (-F.col("at")).alias("back"))).alias("b")).select("pattern", F.col("b.size").alias("size"), (-F.col("b.back")).alias("at"))
+        else:
             best = open_rows.groupBy("pattern", "gap").agg(F.min(F.struct("size", "at")).alias("b")).where("b.size < 2 * gap").select("pattern", "b.size", "b.at")
         found = tables.keep(best)
         out = found if out is None else out.unionByName(found)
-        gaps = tables.keep(gaps.join(found.select("pattern", "size"), "pattern", "left").select("pattern", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap")))
+        used = found.groupBy("pattern").agg(F.sum("size").alias("used"))
+        gaps = tables.keep(gaps.join(used, "pattern", "left").select("pattern", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")))
         if gaps.where("gap > 0").isEmpty():
             break
     return out.select("at")
