@@ -75,7 +75,7 @@ def fill(home: Path) -> None:
 def mined(spark, tmp_path_factory):
     home = tmp_path_factory.mktemp("home")
     fill(home)
-    files = transcripts.choose(transcripts.discover([home]))
+    files = transcripts.choose(transcripts.discover(spark, [home]))
     rows, found, index = scan.mine(transcripts.read_lines(spark, files), Settings())
     found, index = found.persist(), index.persist()
     got = scan.propose(spark, found, index, Settings(), "all").collect()
@@ -160,8 +160,8 @@ def test_one_file_in_many_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", 64 << 10)
     try:
         for home in (tmp_path, tmp_path.as_uri()):
-            files = transcripts.discover([home], spark=spark)
-            assert len(files) == 2
+            files = transcripts.choose(transcripts.discover(spark, [home]))
+            assert files.files.count() == 2
             lines = transcripts.read_lines(spark, files)
             got = {r.line: r.raw for r in lines.where("path LIKE '%long%'").collect()}
             assert sorted(got) == list(range(1, n + 2)) and [got[k + 1] for k in range(n)] == texts and got[n + 1] == "\ufffd"
@@ -171,12 +171,12 @@ def test_one_file_in_many_splits(spark, tmp_path):
     nexts = {r.line: r.next for r in rows.select("line", F.col("next_step.line").alias("next")).collect()}
     steps = [k + 1 for k in range(n) if k % 3]
     assert nexts == dict(zip(steps, [*steps[1:], None], strict=True))
-    assert transcripts.discover([f"{tmp_path.as_uri()}/none"], spark=spark) == []
+    assert transcripts.discover(spark, [f"{tmp_path.as_uri()}/none"]).files.count() == 0
 
 
 def test_order_of_partitions_does_not_matter(spark, mined):
     home, _, _, before = mined
-    files = transcripts.choose(transcripts.discover([home]))
+    files = transcripts.choose(transcripts.discover(spark, [home]))
     lines = transcripts.read_lines(spark, files).repartition(7)
     _, found, index = scan.mine(lines, Settings())
     after = scan.propose(spark, found, index, Settings()).collect()

@@ -26,27 +26,38 @@ FOUND = "array<struct<list:string,entity:string,kind:string,text:string,tool_nam
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def items_of(rows: DataFrame) -> DataFrame:
-    """Calls, results and user texts as rows of their own, in the order of their record."""
-    empty, none = F.lit("").cast("string"), F.lit(None)
+def item(sub, pos, **given) -> Column:
+    """A call, a result or a text; what isn't given is empty."""
+    fields = [p.split(":") for p in ITEM[7:-1].split(",")]
+    values = {"sub": sub, "pos": pos} | given
+    lit = lambda v, kind: v if isinstance(v, Column) else F.lit(v if v is not None else "" if kind == "string" else None)
+    return F.struct(*(lit(values.get(n), kind).alias(n) for n, kind in fields)).cast(ITEM)
+
+
+def call_items() -> Column:
+    return F.transform("calls", lambda c: item(2, c["pos"], call_id=c["call_id"], is_call=True, tool=c["tool"], command=c["command"], skill=c["skill"], mode=c["mode"]))
+
+
+def result_items() -> Column:
+    return F.transform("results", lambda r: item(2, r["pos"], call_id=r["call_id"], is_call=False, output=r["output"], flag=r["flag"]))
 
-    def item(sub, pos, call_id, is_call, tool, command, skill, mode, output, flag, text) -> Column:
-        values = (sub, pos, call_id, is_call, tool, command, skill, mode, output, flag, text)
-        names = [p.split(":")[0] for p in ITEM[7:-1].split(",")]
-        return F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(n) for v, n in zip(values, names, strict=True))).cast(ITEM)
 
-    calls = F.transform("calls", lambda c: item(2, c["pos"], c["call_id"], True, c["tool"], c["command"], c["skill"], c["mode"], empty, none, empty))
-    results = F.transform("results", lambda r: item(2, r["pos"], r["call_id"], False, empty, empty, empty, empty, r["output"], r["flag"], empty))
-    texts = F.when(F.col("user_text") != "", F.array(item(0, 0, empty, none, empty, empty, empty, empty, empty, none, F.col("user_text")))).otherwise(F.array().cast(f"array<{ITEM}>"))
+def text_items(text: Column) -> Column:
+    return F.when(text != "", F.array(item(0, 0, text=text))).otherwise(F.array().cast(f"array<{ITEM}>"))
+
+
+def items_of(rows: DataFrame) -> DataFrame:
+    """Calls, results and user texts as rows of their own, in the order of their record."""
     keep = ["source", "path", "session_ord", "mtime", "line", "ts", "session_id", "last_session_id", "next_step", "correction", "cwd", "started_at", "ended_at"]
-    return rows.select(*keep, F.explode(F.concat(texts, calls, results)).alias("item")).select(*keep, "item.*")
+    return rows.select(*keep, F.explode(F.concat(text_items(F.col("user_text")), call_items(), result_items())).alias("item")).select(*keep, "item.*")
 
 
 def with_calls(items: DataFrame, settings: Settings) -> DataFrame:
     """Each result with the latest earlier call of its id; results of no call go."""
     facts = items.withColumn("facts", call_facts(settings, F.coalesce("tool", F.lit("")), F.when(F.col("is_call"), F.col("mode")).otherwise("none"), F.when(F.col("is_call"), F.col("command")).otherwise("")))
     call = F.when(F.col("is_call"), F.struct("tool", "command", F.col("facts.clis").alias("clis"), F.col("facts.sole").alias("sole"), F.col("facts.wants").alias("wants")).cast(CALL))
-    earlier = W.partitionBy("path", "call_id").orderBy("line", "sub", "pos").rowsBetween(W.unboundedPreceding, 0)
+    alone = F.when(F.col("call_id") == "", F.struct("line", "sub", "pos"))  # what names no call stays where it is
+    earlier = W.partitionBy("path", "call_id", alone).orderBy("line", "sub", "pos").rowsBetween(W.unboundedPreceding, 0)
     bound = facts.withColumn("call", F.last(call, True).over(earlier))
     return bound.where((F.col("text") != "") | F.col("call").isNotNull()).drop("facts", "tool", "command", "mode")
 
@@ -69,7 +80,11 @@ def _blamed(output: Column, clis: Column, source: Column) -> Column:
 
 def evidence(rows: DataFrame, settings: Settings) -> DataFrame:
     """The evidence table of normalized records with their context."""
-    items = with_calls(items_of(rows), settings)
+    return found_in(with_calls(items_of(rows), settings), settings)
+
+
+def found_in(items: DataFrame, settings: Settings, more: tuple[str, ...] = ()) -> DataFrame:
+    """The evidence of items that know their call and their context, each by itself; with more columns of the items."""
     call, clis = F.col("call"), F.col("call.clis")
     is_call, output, tool = F.coalesce(F.col("is_call"), F.lit(False)), F.col("output"), F.col("call.tool")
     # one layer of columns at a time, so that no expression is spelled out more than once
@@ -119,7 +134,7 @@ def evidence(rows: DataFrame, settings: Settings) -> DataFrame:
         found(F.col("payload").isNotNull(), "empty", "", catalog.EMPTY, payload, tool, sole, "last_session_id", 1),
         each(F.col("payload").isNotNull(), clis, lambda c, k: row("cli", c, catalog.EMPTY, payload, tool, sole, last, 1, *at, k)),
     ]
-    own = ["source", "path", "session_ord", "mtime", "line", "ts", "last_session_id", *HEAD]
+    own = ["source", "path", "session_ord", "mtime", "line", "ts", "last_session_id", *HEAD, *more]
     called = F.col("call.command").alias("called")
     rows = items.select(*own, called, F.explode(F.concat(*many)).alias("e")).select(*own, "called", "e.*")
     time = tx.parse_time(F.col("ts"))
@@ -131,7 +146,7 @@ def evidence(rows: DataFrame, settings: Settings) -> DataFrame:
         "command", tx.iso(time).alias("occurred_at"), F.coalesce("text", F.lit("")).alias("excerpt"),
         F.coalesce(time, "mtime", tx.path_time(F.col("path"))).alias("event_time"), "mtime", "last_session_id", *HEAD,
         *(c for c in ORDER if c != "line"), F.when(raw.isNotNull(), tx.executable(raw)).alias("program"), plain.alias("plain"), hits.alias("workflows"),
-        F.when(plain, raw).alias("raw_command"),
+        F.when(plain, raw).alias("raw_command"), *more,
     )
 
 

@@ -14,6 +14,7 @@ from tracemill import catalog
 from tracemill.config import Settings
 from tracemill.functions import text as tx
 from tracemill.functions.patterns import matches
+from tracemill.sources import shared
 
 KEYS = ["source", "path", "session_ord", "mtime", "line"]
 CALLS = "array<struct<pos:int,call_id:string,tool:string,command:string,skill:string,mode:string>>"
@@ -103,30 +104,69 @@ def normalized(records: DataFrame) -> DataFrame:
     return claude(records.where("source = 'claude'")).unionByName(codex(records.where("source = 'codex'")))
 
 
-def with_context(rows: DataFrame, settings: Settings) -> DataFrame:
+#: Lines of one stretch of a file: windows run within a stretch, and stretches are joined by what each one hands on.
+STRETCH = 1 << 15
+
+
+def marked(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Whether a line holds something that a user typed, and what its agent step says, if it is one: (line, seen)."""
+    scaffold = tx.is_scaffold(F.col("user_text"), F.col("path"), settings)
+    step = F.when(F.col("step"), F.struct("line", matches(F.col("step_text"), catalog.EMPTY_SEEN).alias("seen")))
+    return rows.withColumns({"typed": (F.col("user_text") != "") & ~scaffold, "own_step": step}).drop("step", "step_text")
+
+
+def stem(path: Column) -> Column:
+    """The name of a file without its ending: a session's id until a line names another."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def _handed_on(rows: DataFrame) -> DataFrame:
+    """For each stretch of each file what comes in from the stretches around it, and what holds for the whole file.
+
+    A stretch is summed up in one row first, so what a file's windows run over is a row for each ``STRETCH`` lines.
+    """
+    said = lambda name: F.col(name).isNotNull()
+    last = lambda name: F.max_by(name, F.when(said(name), F.col("line"))).alias(name)
+    first = lambda name: F.min_by(name, F.when(said(name), F.col("line")))
+    sums = rows.groupBy("path", "stretch").agg(last("sid"), last("cwd_set"), last("ts"), first("ts").alias("first_ts"), F.max("agent").alias("agent"), F.max("typed").alias("typed"), first("own_step").alias("own_step"))
+    along = W.partitionBy("path").orderBy("stretch")
+    whole, before = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), along.rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("path").orderBy(F.col("stretch").desc()).rowsBetween(W.unboundedPreceding, -1)
+    return sums.select(
+        "path", "stretch", F.last("sid", True).over(before).alias("sid_in"), F.coalesce(F.max("agent").over(before), F.lit(False)).alias("agent_in"),
+        F.coalesce(F.max("typed").over(before), F.lit(False)).alias("typed_in"), F.last("own_step", True).over(after).alias("step_in"),
+        F.coalesce(F.last("sid", True).over(whole), stem(F.col("path"))).alias("last_session_id"), F.coalesce(F.last("cwd_set", True).over(whole), F.lit("")).alias("cwd"),
+        F.coalesce(F.first("first_ts", True).over(whole), F.lit("")).alias("started_at"), F.coalesce(F.last("ts", True).over(whole), F.lit("")).alias("ended_at"),
+    )
+
+
+def _said_again(rows: DataFrame) -> DataFrame:
+    """Lines of each stretch whose words a user typed before in the same file."""
+    texts = rows.where("user_text <> ''").select("path", "stretch", "line", "typed", F.sha2("user_text", 256).alias("words"))
+    firsts = texts.where("typed").groupBy("path", "words").agg(F.min("line").alias("first_line"))
+    again = texts.join(firsts, ["path", "words"]).where("line > first_line")
+    return again.groupBy("path", "stretch").agg(F.collect_list("line").alias("again"))  # at most STRETCH lines
+
+
+def with_context(rows: DataFrame, settings: Settings, stretch: int = STRETCH) -> DataFrame:
     """What holds at each line: session and directory so far, earlier user texts, the next agent step.
 
-    One shuffle by file serves all windows here and the ones over calls after it.
+    A file of any length is cut into stretches of lines, each windowed on its own; running values are carried over from
+    stretch to stretch (a prefix scan), so the lines of one file spread over as many tasks as it has stretches.
     """
-    so_far = W.partitionBy("path").orderBy("line")
-    before = so_far.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    from_the_end = W.partitionBy("path").orderBy(F.col("line").desc()).rowsBetween(W.unboundedPreceding, -1)  # a running frame
-    same = W.partitionBy("path", "user_text").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    rows = rows.repartition("path").withColumn("scaffold", tx.is_scaffold(F.col("user_text"), F.col("path"), settings))
-    typed = (F.col("user_text") != "") & ~F.col("scaffold")
-    step = F.when(F.col("step"), F.struct("line", matches(F.col("step_text"), catalog.EMPTY_SEEN).alias("seen")))
+    rows = shared.keep(marked(rows, settings).withColumn("stretch", F.floor((F.col("line") - 1) / stretch).cast("int")), "records")
+    carried = _handed_on(rows).join(_said_again(rows), ["path", "stretch"], "left")
+    within = W.partitionBy("path", "stretch").orderBy("line")
+    so_far, before = within.rowsBetween(W.unboundedPreceding, 0), within.rowsBetween(W.unboundedPreceding, -1)
+    from_the_end = W.partitionBy("path", "stretch").orderBy(F.col("line").desc()).rowsBetween(W.unboundedPreceding, -1)  # a running frame
     rows = rows.withColumns({
-        "session_id": F.coalesce(F.last("sid", True).over(so_far.rowsBetween(W.unboundedPreceding, 0)), stem),
-        "last_session_id": F.coalesce(F.last("sid", True).over(whole), stem),
-        "cwd": F.coalesce(F.last("cwd_set", True).over(whole), F.lit("")),
-        "started_at": F.coalesce(F.first("ts", True).over(whole), F.lit("")),
-        "ended_at": F.coalesce(F.last("ts", True).over(whole), F.lit("")),
-        "responded": F.max("agent").over(so_far.rowsBetween(W.unboundedPreceding, 0)),
-        "typed_before": F.coalesce(F.max(typed).over(before), F.lit(False)),
-        "repeated": F.coalesce(F.max(typed).over(same), F.lit(False)),
-        "next_step": F.last(step, True).over(from_the_end),
+        "sid_here": F.last("sid", True).over(so_far),
+        "agent_here": F.coalesce(F.max("agent").over(so_far), F.lit(False)),
+        "typed_here": F.coalesce(F.max("typed").over(before), F.lit(False)),
+        "step_here": F.last("own_step", True).over(from_the_end),
     })
-    eligible = F.col("responded") & F.col("typed_before") & ~F.col("repeated")
-    return rows.withColumn("correction", eligible & tx.is_correction(F.col("user_text"), F.col("path"), settings)).drop("sid", "cwd_set", "agent", "step", "step_text")
+    rows = rows.join(carried, ["path", "stretch"])
+    rows = rows.withColumns({"session_id": F.coalesce("sid_here", "sid_in", stem(F.col("path"))), "next_step": F.coalesce("step_here", "step_in")})
+    eligible = F.expr("user_text <> '' AND (agent_here OR agent_in) AND (typed_here OR typed_in) AND NOT coalesce(array_contains(again, line), false)")
+    correction = eligible & tx.is_correction(F.col("user_text"), F.col("path"), settings)
+    return rows.withColumn("correction", correction).drop("stretch", "sid", "cwd_set", "agent", "typed", "own_step", "sid_here", "agent_here", "typed_here", "step_here", "sid_in", "agent_in", "typed_in", "step_in", "again")

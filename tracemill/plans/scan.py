@@ -115,9 +115,10 @@ def run(spark: SparkSession, options: Options) -> int:
         return 2
     begun, window = control.now(), since(options, state)  # the cursor is taken before the files are listed
     run_id = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
-    files = transcripts.choose(transcripts.discover(list(options.homes), options.source, spark), window, options.max_sessions)
+    files = transcripts.choose(transcripts.discover(spark, list(options.homes), options.source), window, options.max_sessions)
     calls, found, index = mine(transcripts.read_lines(spark, files), settings)
-    stats = parse_stats(calls, transcripts.file_table(spark, files).drop("uri"))
+    stats = parse_stats(calls, transcripts.file_table(files))
+    n_files = files.files.count()
     warned = [r.warning for r in health_warnings(stats).orderBy("source").collect()]
     for warning in warned:
         print(f"warning: {warning}", file=sys.stderr)
@@ -134,7 +135,7 @@ def run(spark: SparkSession, options: Options) -> int:
     ordered = index.orderBy("session_ord")
     n_sessions = index.count()
     result = {
-        "schema_version": catalog.SCHEMA_VERSION, "run_id": run_id, "started_at": begun, "source": options.source, "since": window.isoformat() if window else None, "files_scanned": len(files),
+        "schema_version": catalog.SCHEMA_VERSION, "run_id": run_id, "started_at": begun, "source": options.source, "since": window.isoformat() if window else None, "files_scanned": n_files,
         "sessions_with_signals": n_sessions, "proposal_count": len(proposals), "resolved_suppressed_count": len(suppressed), "resolved_suppressed_targets": sorted({s["target"] for s in suppressed}),
         "regression_count": len(regressions), "regressions": [{"proposal_id": d["proposal_id"], **d["regression"]} for d in regressions],
         "parse_stats": {r.source: {"files": r.files, "tool_calls": int(r.tool_calls)} for r in stats.collect()}, "parser_warnings": warned, "output_root": str(options.output),
@@ -156,7 +157,7 @@ def run(spark: SparkSession, options: Options) -> int:
     state |= {"schema_version": catalog.SCHEMA_VERSION, "target_run_history": runs, "last_scan_started_at": begun, "last_run_id": run_id, "seen_proposal_keys": sorted({*state.get("seen_proposal_keys", []), *(d["proposal_key"] for d in proposals)})}
     control.write_json(options.output / "state.json", state)
     control.write_json(options.output / "runs" / f"{run_id}.json", {**result, "review_packet": str(packet_path)})
-    print(f"scanned={len(files)} sessions_with_signals={n_sessions} proposals={len(proposals)}")
+    print(f"scanned={n_files} sessions_with_signals={n_sessions} proposals={len(proposals)}")
     print(f"resolved_suppressed={len(suppressed)} targets={','.join(result['resolved_suppressed_targets']) or '-'} regressions={len(regressions)}")
     print(f"review_packet={packet_path}")
     if proposals:

@@ -3,29 +3,34 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+import os
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tracemill.functions import text as tx
+from tracemill.operators import ordinals
+from tracemill.sources import shared
 
 #: Where each dialect keeps its transcripts under a home directory (fixed values).
 ROOTS = (("claude", ".claude/projects"), ("codex", ".codex/sessions"))
 FILES = "source string, path string, mtime timestamp, session_ord long"
+PATTERN = "*.jsonl"
 
 
 @dataclass(frozen=True)
-class File:
-    """A transcript: its dialect, the path that is shown and read, the name that its lines carry, and its time."""
+class Transcripts:
+    """Folders that hold transcripts, and the files found there: source, path (as shown), uri (as the lines carry it),
+    mtime, found (the place of its folder among the folders), and session_ord once they are chosen."""
 
-    source: str
-    path: str
-    uri: str
-    mtime: dt.datetime
+    roots: tuple[str, ...]
+    files: DataFrame
 
 
 def _name() -> Column:
@@ -33,57 +38,72 @@ def _name() -> Column:
     return F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
 
 
-def _on_this_machine(root: Path, dialect: str) -> list[tuple[str, File]]:
-    """(resolved path, file), so that a file that links reach twice is one."""
-    out = []
-    for path in root.glob("**/*.jsonl"):
-        mtime = dt.datetime.fromtimestamp(path.stat().st_mtime, dt.timezone.utc)
-        out.append((str(path.resolve()), File(dialect, str(path), f"file://{path.absolute()}", mtime)))
-    return out
+@F.pandas_udf(T.StringType())
+def _real(uris: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Where a file on a mounted disk really is, so that one that links reach twice is one."""
+    for batch in uris:
+        yield batch.map(lambda u: os.path.realpath(u[7:]) if u.startswith("file://") else u)
 
 
-def _in_a_store(spark: SparkSession, root: str, dialect: str) -> list[tuple[str, File]]:
-    """The same under a path that Spark's readers open; what the files hold is not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-    try:
-        listed = reader.load(root).select("path", _name().alias("uri"), "_metadata.file_modification_time").collect()  # a row per file, as in Spark's own file index
-    except AnalysisException:
-        return []
-    return [(r.path, File(dialect, r.path, r.uri, r.file_modification_time.astimezone(dt.timezone.utc))) for r in listed]
+def _exists(spark: SparkSession, uri: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def discover(homes: list[Path | str], source: str = "all", spark: SparkSession | None = None) -> list[File]:
-    """Every transcript: homes in order, each file once however it is reached. A home with a scheme is listed by Spark."""
-    found: dict[str, File] = {}
-    for home in map(str, homes):
-        for dialect, under in ROOTS:
-            if source in ("all", dialect):
-                listed = _in_a_store(spark, f"{home.rstrip('/')}/{under}", dialect) if "://" in home else _on_this_machine(Path(home).expanduser() / under, dialect)
-                for name, file in sorted(listed, key=lambda x: x[1].mtime):
-                    found.setdefault(name, file)
-    return list(found.values())
+def _uri(home: Path | str) -> str:
+    return str(home).rstrip("/") if "://" in str(home) else Path(home).expanduser().absolute().as_uri().rstrip("/")
 
 
-def choose(files: list[File], since: dt.datetime | None = None, newest: int = 0) -> list[File]:
-    """Files from ``since`` on (inclusive), oldest first, at most the ``newest`` of them."""
-    kept = sorted((f for f in files if since is None or f.mtime >= since), key=lambda f: f.mtime)
-    return kept[-newest:] if newest else kept
+def discover(spark: SparkSession, homes: list[Path | str], source: str = "all") -> Transcripts:
+    """Every transcript: homes in order, each file once however it is reached.
+
+    Spark lists the folders, in any store that its readers open; what the files hold is not read, and no list of them
+    comes to the driver's Python or into a plan. Empty files and names that begin with a dot or an underscore are passed
+    over, as by all of Spark's readers.
+    """
+    roots = [(dialect, f"{_uri(home)}/{under}") for home in homes for dialect, under in ROOTS if source in ("all", dialect)]
+    roots = [(n, dialect, uri) for n, (dialect, uri) in enumerate(roots) if _exists(spark, uri)]
+    if not roots:
+        return Transcripts((), spark.createDataFrame([], "source string, path string, uri string, mtime timestamp, found int"))
+    listed = None
+    for n, dialect, uri in roots:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PATTERN).load(uri)
+        one = reader.select(F.lit(dialect).alias("source"), _name().alias("uri"), F.col("_metadata.file_modification_time").alias("mtime"), F.lit(n).alias("found"))
+        listed = one if listed is None else listed.unionByName(one)
+    first = listed.groupBy(_real("uri").alias("real")).agg(F.min(F.struct("found", "mtime", "uri", "source")).alias("f"))
+    files = first.select("f.source", F.regexp_replace("f.uri", "^file://", "").alias("path"), "f.uri", "f.mtime", "f.found")
+    return Transcripts(tuple(uri for *_, uri in roots), files)
+
+
+def choose(found: Transcripts, since: dt.datetime | None = None, newest: int = 0) -> Transcripts:
+    """Files from ``since`` on (inclusive), numbered from the oldest on, at most the ``newest`` of them.
+
+    Of equal times the folder found first comes first, then the path."""
+    files = found.files if since is None else found.files.where(F.col("mtime") >= F.lit(since))
+    files = ordinals.numbered(files, ["mtime", "found", "uri"], "session_ord")
+    if newest:
+        files = files.where(F.col("session_ord") >= files.count() - newest)
+    return replace(found, files=shared.keep(files, "files"))
 
 
-def file_table(spark: SparkSession, files: list[File]) -> DataFrame:
-    return spark.createDataFrame([(f.source, f.path, f.mtime, n, f.uri) for n, f in enumerate(files)], f"{FILES}, uri string")
+def file_table(chosen: Transcripts) -> DataFrame:
+    return chosen.files.select("source", "path", "mtime", "session_ord")
 
 
-def read_lines(spark: SparkSession, files: list[File]) -> DataFrame:
+def read_lines(spark: SparkSession, chosen: Transcripts) -> DataFrame:
     """source, path, mtime, session_ord, line, raw: lines are numbered from 1, blank and broken ones included.
 
-    A file of any size is read in splits by many tasks: a line's number is its place in its split, after the lines of the
-    splits before. Bytes that are no UTF-8 become U+FFFD; no more than one line is held at a time.
+    Only files as new as the oldest chosen one are opened: their time is in the reader's own metadata. A file of any size
+    is read in splits by many tasks: a line's number is its place in its split, after the lines of the splits before.
+    Bytes that are no UTF-8 become U+FFFD; no more than one line is held at a time.
     """
-    if not files:
+    oldest = chosen.files.agg(F.min("mtime")).first()[0]
+    if oldest is None:
         return spark.createDataFrame([], f"{FILES}, line int, raw string")
-    lines = spark.read.text([f.path for f in files]).select(_name().alias("uri"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("raw"))
-    return numbered(lines).join(file_table(spark, files), "uri").select("source", "path", "mtime", "session_ord", "line", "raw")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", PATTERN)
+    lines = reader.text(list(chosen.roots)).where(F.col("_metadata.file_modification_time") >= F.lit(oldest))
+    lines = lines.select(_name().alias("uri"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("raw"))
+    return numbered(lines).join(chosen.files, "uri").select("source", "path", "mtime", "session_ord", "line", "raw")
 
 
 def numbered(lines: DataFrame) -> DataFrame:
