@@ -90,7 +90,7 @@ def document(row, created: str) -> dict:
     if idea:
         out = content.content_document(row, out)
     else:
-        out |= {"impact": list(row.impact), "apply_policy": {"mode": "manual_approval_required", "notes": "This command stages proposals only. Review and approve before editing skills, memory, runbooks, source code."}}
+        out |= {"impact": list(row.impact), "apply_policy": {"mode": "manual_approval_required", "notes": "A scan stages what it proposes; a person decides what becomes of it."}}
     if row.recurrence > 1:
         out["recurrence"] = row.recurrence
     if row.decision:
