@@ -310,6 +310,37 @@ def test_similar_texts_of_every_kind_of_edit(spark):
     assert kept == {2 * n for n in range(160)}
 
 
+def test_pages_of_one_frame(spark, monkeypatch):
+    """Texts that share a frame and are no copies meet in bands, but their shingles are not dealt to one another."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    frame, rows = [word() for _ in range(130)], []
+    for n in range(600):
+        own = [word() for _ in range(70)]
+        rows.append((n, " ".join(frame[:65] + own + frame[65:])))
+    rows += [(600 + n, rows[n][1] + " " + " ".join(word() for _ in range(8))) for n in range(0, 600, 60)]
+    a, b = shingle_set(rows[0][1]), shingle_set(rows[1][1])
+    assert 0.4 < len(a & b) / len(a | b) < 0.5
+    dealt = []
+    compare = similar_texts._compare
+    monkeypatch.setattr(similar_texts, "_compare", lambda members, *rest: dealt.extend(members.select("node", "size").collect()) or compare(members, *rest))
+    kept = {r.doc_id for r in similar_texts.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(600))
+    assert sum(-(-r.size // similar_texts.BLOCK) for r in dealt) <= len(rows) and max(r.size for r in dealt) < 100
+
+
+def test_a_family_has_few_leaders():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 16, 400, dtype=np.uint8)
+    signs = np.repeat(base[None], 2000, axis=0)
+    for row in signs:
+        row[rng.integers(0, 400, 8)] = 0
+    leaders, links = similar_texts._Leaders(), []
+    for at in range(0, 2000, 256):
+        links += leaders.meet(np.arange(at, min(2000, at + 256)), signs[at : at + 256])
+    assert len(leaders.nodes) < 5 and 1999 <= len(links) < 2100
+
+
 def test_similar_links_across_blocks():
     rng = random.Random(6)
     sets = [np.unique(np.array([k * 1000 + rng.randrange(12) for _ in range(30)] + list(range(k % 3 * 50, k % 3 * 50 + 50)), np.uint64)) for k in range(12)]
