@@ -8,8 +8,8 @@ Search: permuted block tables. A fingerprint is cut into ``RADIUS + 1`` blocks a
 that block in front. Fingerprints within the radius agree in some block, so an equality join on the front block meets
 every one of them; the join's condition compares all bits, and takes a match only in the first table that shows it.
 
-Defined results: a null or empty text has fingerprint zero; null ids come first in the order; rows with equal ids are
-ordered by text, then in any order (they are equal); repeated rows are returned each; a bit that half of the weight voted
+Defined results: a null or empty text has fingerprint zero; null ids come first in the order; rows with equal ids, null
+ones too, are ordered by a hash of their text and by text, then in any order (they are equal); repeated rows are returned each; a bit that half of the weight voted
 for is 0; other columns are ignored, whatever their names; an empty table gives an empty result. A text is split into its
 terms whole, in one row's memory.
 """
@@ -81,29 +81,30 @@ def with_next(docs: DataFrame, chars: int = STRETCH) -> DataFrame:
     A stretch also holds, with own false, the row that begins the next one, so that no order over all rows is needed;
     the last stretch ends with the first row of all. Stretches are bounded in text and are dealt out by hash.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     placed = rows.withColumn("stretch", _stretch(rows, chars))
     # one small row per stretch: its first id, and the stretch before it
-    firsts = placed.groupBy("stretch").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"))
-    heads = [(r.stretch, r.first.doc_id) for r in firsts.orderBy("stretch").collect()]  # at most 2 * STRETCHES rows
+    firsts = placed.groupBy("stretch").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("first"))
+    heads = [(r.stretch, r.first.doc_id, r.first.h) for r in firsts.orderBy("stretch").collect()]  # at most 3 * STRETCHES rows
     if not heads:
         return _ranked(placed.withColumns({"own": F.lit(True), "late": F.lit(0)}))
-    before = [(i, heads[k - 1][0], int(k == 0), s) for k, (s, i) in enumerate(heads)]
-    small = docs.sparkSession.createDataFrame(before, "first_id long, to long, late int, at long")
-    guests = placed.join(F.broadcast(small), (F.col("stretch") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    guests = guests.select("doc_id", "text", F.col("to").alias("stretch"), F.lit(False).alias("own"), "late")
-    everyone = placed.select("doc_id", "text", "stretch", F.lit(True).alias("own"), F.lit(0).alias("late")).unionByName(guests)
+    before = [(i, h, heads[k - 1][0], int(k == 0), s) for k, (s, i, h) in enumerate(heads)]
+    small = docs.sparkSession.createDataFrame(before, "first_id long, first_h long, to long, late int, at long")
+    guests = placed.join(F.broadcast(small), (F.col("stretch") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
+    guests = guests.select("doc_id", "text", "h", F.col("to").alias("stretch"), F.lit(False).alias("own"), "late")
+    everyone = placed.select("doc_id", "text", "h", "stretch", F.lit(True).alias("own"), F.lit(0).alias("late")).unionByName(guests)
     return _ranked(everyone)
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    order = W.partitionBy("stretch").orderBy("late", F.expr("NOT own AND late = 0"), F.col("doc_id").asc_nulls_first(), "text")
+    order = W.partitionBy("stretch").orderBy("late", F.expr("NOT own AND late = 0"), F.col("doc_id").asc_nulls_first(), "h", "text")
     return rows.select("stretch", "own", "doc_id", "text", F.row_number().over(order).alias("rank"), F.lead("text").over(order).alias("next_text"))
 
 
 def _stretch(rows: DataFrame, chars: int) -> Column:
-    """The stretch of each id: a tree of comparisons with at most CUTS quantiles, each part then cut evenly by value."""
-    facts = rows.agg(F.sum(F.octet_length("text")).alias("total"), F.percentile_approx("doc_id", [k / CUTS for k in range(CUTS + 1)], 20 * CUTS).alias("cuts")).first()
+    """The stretch of each id: a tree of comparisons with at most CUTS quantiles, each part then cut evenly by value. Rows
+    without an id are cut evenly by the hash of their text, below all others."""
+    facts = rows.agg(F.sum(F.octet_length("text")).alias("total"), F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text"))).alias("unknown"), F.percentile_approx("doc_id", [k / CUTS for k in range(CUTS + 1)], 20 * CUTS).alias("cuts")).first()
     wanted = min(STRETCHES, max(1, -(-(facts.total or 0) // chars)))
     cuts = sorted({*(facts.cuts or [0])[:: max(1, CUTS // wanted)], *(facts.cuts or [0])[-1:]})
     steps = -(-wanted // max(1, len(cuts) - 1))
@@ -117,7 +118,9 @@ def _stretch(rows: DataFrame, chars: int) -> Column:
         middle = (low + high) // 2
         return F.when(F.col("doc_id") < F.lit(cuts[middle]), pick(low, middle)).otherwise(pick(middle, high))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(pick(0, max(1, len(cuts) - 1)).cast("long"))
+    below = min(STRETCHES, max(1, -(-(facts.unknown or 0) // chars)))
+    part = F.floor((F.col("h").cast("double") + 2.0**63) / 2.0**64 * below)
+    return F.when(F.col("doc_id").isNull(), F.least(part, F.lit(below - 1)) - below).otherwise(pick(0, max(1, len(cuts) - 1)).cast("long"))
 
 
 def edited(text: Column, after: Column) -> Column:
