@@ -16,8 +16,9 @@ equals; what occurs once is dropped.
   equal there is settled. After about log2(length - ANCHOR) rounds a group is one string.
 
 No task holds all occurrences of a frequent anchor. What a zone has twice in one Arrow batch is settled there, and one
-occurrence stands for the others. An anchor that still has ``OFTEN`` zones in one batch is hot: its zones are counted with
-partial sums and met again in joins, whose large sides Spark splits; the rest is counted in one shuffle.
+occurrence stands for the others. Anchors are counted over the whole table by partial sums; one that still has ``OFTEN``
+occurrences is hot: its zones are counted with partial sums and met again in joins, whose large sides Spark splits; the
+rest is counted in one shuffle.
 
 Rows are known by doc_id where it is unique and not null, else by a hash of id and text. Defined results: a null or
 empty text has no bytes and no spans; repeated rows are documents of their own (each of them is a copy of the other), so
@@ -45,8 +46,8 @@ LENGTH, ANCHOR = 400, 256
 ZONES, SORTED_BYTES = 1024, 1 << 19
 #: Row keys (8 bytes each) that are broadcast to pick rows; beyond, rows are picked by a shuffled join.
 BROADCAST_ROWS = 500_000
-#: Zones of an anchor in one Arrow batch that make it hot.
-OFTEN = 16
+#: Occurrences of an anchor, but for what is settled within a batch, that make it hot.
+OFTEN = 256
 
 
 def _least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -294,7 +295,7 @@ def repeated_spans(rows: DataFrame, tables: _common.Tables, length: int = LENGTH
         raise ValueError("the anchor must be shorter than the string, by less than 4096 bytes")
     seen = tables.keep(_occurrences(rows, length, anchor))
     leads = seen.where("often > 0")
-    hot = tables.keep(leads.where(F.col("often") >= OFTEN).select("anchor").distinct())
+    hot = tables.keep(leads.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("anchor"))
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     found = tables.keep(_found(leads.join(hot, "anchor", "left_anti")).unionByName(_found_hot(leads.join(hot, "anchor", "left_semi"), tables)))
     whole = seen.where("same > 1").select("row", "place").unionByName(found.where("n > 1 AND NOT only_compare").select("row", "place"))
