@@ -38,9 +38,9 @@ U = np.uint64
 BLOCK = 1 << 20
 #: Terms of all blocks that one partition of the hash range adds up.
 TERMS_A_PARTITION = 4 << 20
-#: Bins of a quarter of a power of two, 255 each way from ratio 1 (bin ONE), the least ones wrapped to the end: no count
+#: A class of contexts for each power of two that a count of 64 bits can have. Bins of a quarter of a power of two, 255 each way from ratio 1 (bin ONE), the least ones wrapped to the end: no count
 #: of 64 bits leaves them. Bin 0 is an estimate of zero.
-CLASSES, BINS, BIN, ONE = 24, 512, 0.25, 64
+CLASSES, BINS, BIN, ONE = 65, 512, 0.25, 64
 END = U(0x5E3779B97F4A7C15)
 #: The context before the first word.
 START = U(0x1B873593CC9E2D51)
