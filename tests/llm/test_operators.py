@@ -365,6 +365,33 @@ def plain_removal(texts, length):
     return out
 
 
+def test_anchors_are_hot_by_the_whole_table(spark, monkeypatch):
+    """A passage that a few texts of every partition hold meets in joins, not in one task, though no batch has many."""
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(900)
+    texts = [prose(300) + passage + prose(300) for _ in range(300)] + [prose(500) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(60)
+    met = []
+    found = suffix_dedup._found
+    monkeypatch.setattr(suffix_dedup, "_found", lambda leads: met.extend(r["count"] for r in leads.groupBy("anchor").count().collect()) or found(leads))
+    got = suffix_dedup.remove_repeats(docs, lambda i, t, s: (i, str(s), len(t)), "doc_id long, spans string, n long").collect()
+    assert max(met, default=0) < suffix_dedup.OFTEN
+    assert {r.doc_id: r.spans for r in got} == {k: str(s) for k, s in enumerate(plain_removal([t.encode() for t in texts], 400))}
+
+
+def test_documents_without_ids_are_many_stretches(spark):
+    """Rows without an id, a third of all, are dealt over stretches, and the order of all is one."""
+    rows = [(n if n % 3 else None, f"text {n * 7919 % 600} " * 20) for n in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = simhash.with_next(docs, chars=2000).where("own").withColumn("h", F.xxhash64("text")).collect()
+    assert len(found) == 600 and len({r.stretch for r in found if r.doc_id is None}) > 10
+    hashes = {r.text: r.h for r in found}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1]))
+    nexts = {(r.doc_id, r.text): r.next_text for r in found}
+    assert nexts == {(i, t): order[(k + 1) % 600][1] for k, (i, t) in enumerate(order)}
+
+
 @pytest.mark.parametrize("zones", [1024, 1])
 def test_repeats(docs, rows, monkeypatch, zones):
     monkeypatch.setattr(suffix_dedup, "ZONES", zones)
