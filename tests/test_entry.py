@@ -58,7 +58,7 @@ def test_a_broken_operator_shows(spark, db, sf_dir, monkeypatch):
         broken.setattr(routes, "references", lambda evidence: F.transform(evidence, lambda e: e["path"]))
         assert not agrees(spark, db, sf_dir, "project_corrections")
     with monkeypatch.context() as broken:
-        broken.setattr(mined_queries, "_mined", {})
+        broken.setattr(mined_queries, "_made", {})
         broken.setattr(tx, "is_pasted", lambda text: F.lit(False))
         assert not agrees(spark, db, sf_dir, "mined_evidence")
     assert agrees(spark, db, sf_dir, "mined_evidence")

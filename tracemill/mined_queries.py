@@ -19,7 +19,7 @@ from tracemill.config import Settings
 from tracemill.operators import content, routes
 from tracemill.plans import lifecycle
 from tracemill.plans.scan import health_warnings, mine, parse_stats, propose
-from tracemill.sources import transcripts
+from tracemill.sources import shared, transcripts
 
 #: event type, variant (k modulo the type's number of variants), text or output, tool, command, flag of a result
 SCENES = (
@@ -118,21 +118,28 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.when(claude, "claude").otherwise("codex").alias("source"), path.alias("path"), F.lit("2024-06-01 00:00:00").cast("timestamp").alias("mtime"), "session_ord", line.alias("line"), raw.alias("raw"))
 
 
-_mined: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+_made: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """Tables in the shared folder, made once for each state of the events that a session sees."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    at = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen(), name)
+    if at not in _made:
+        _made[at] = make()
+    return _made[at]
 
 
 def mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(calls, evidence, session index), written once a session to the shared folder, as a scan does before its routes."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _mined:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        _mined[at] = mine(rendered(spark, sf_dir), SETTINGS)
-    return _mined[at]
+    """(calls, evidence, session index), written once to the shared folder, as a scan does before its routes."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _once(spark, sf_dir, "mined", lambda: mine(shared.keep(rendered(spark, sf_dir), "lines"), SETTINGS))
 
 
 def forget() -> None:
     """Mine anew from now on."""
-    _mined.clear()
+    _made.clear()
 
 
 def _text(value) -> str:
@@ -374,7 +381,7 @@ def mcp_friction(spark, sf_dir):
 
 def improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, found, index = mined(spark, sf_dir)
-    return propose(spark, found, index, SETTINGS).withColumn("latest_evidence_at", F.col("latest_evidence"))
+    return _once(spark, sf_dir, "improvements", lambda: (shared.keep(propose(spark, found, index, SETTINGS), "proposals"),))[0].withColumn("latest_evidence_at", F.col("latest_evidence"))
 
 
 @query(PROPOSALS + "SELECT CAST(gen_route AS INTEGER) AS gen_route, target_name, proposal_key FROM (SELECT *, row_number() OVER (PARTITION BY proposal_key ORDER BY gen_route, target_name) AS nth FROM props) WHERE nth = 1")

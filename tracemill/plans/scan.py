@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 from tracemill import catalog
 from tracemill.config import Settings
 from tracemill.operators import content, evidence, normalize, routes
-from tracemill.plans import lifecycle, packet
+from tracemill.plans import lifecycle, packet, session_index
+from tracemill.plans.commit import Commit, recover
 from tracemill.sources import control, shared, transcripts
 
-INDEX_FIELDS = ["source", "path", "session_id", "cwd", "started_at", "ended_at", "tool_call_count", "pp_cli_names", "skill_names", "slash_commands", "failure_count", "silent_empty_count", "correction_count"]
-
-
 @dataclass(frozen=True)
 class Options:
     homes: tuple[Path | str, ...]
@@ -107,6 +105,8 @@ def run(spark: SparkSession, options: Options) -> int:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     settings = replace(Settings().with_overrides(control.load_config(options.config) if options.config else {}), full=options.full)
+    if not options.dry_run:
+        recover(options.output)  # what a crashed run has left is finished or dropped before its state is read
     state = control.load_state(options.output)
     try:
         resolutions = control.Registry.load(options.output).documents()
@@ -143,36 +143,25 @@ def run(spark: SparkSession, options: Options) -> int:
     if options.dry_run:
         print(json.dumps({**result, "proposals": proposals}, ensure_ascii=False, indent=2))
         return 0
-    shown = [r.asDict() for r in ordered.select(*INDEX_FIELDS).limit(catalog.PACKET_SESSIONS).collect()]
-    index_new_sessions(spark, ordered, options.output / "session-index.jsonl")
+    shown = [r.asDict() for r in ordered.select(*session_index.FIELDS).limit(catalog.PACKET_SESSIONS).collect()]
+    commit = Commit(options.output, run_id)
+    session_index.stage_new(spark, ordered, options.output, commit)
     for found_one in proposals:
-        control.write_json(options.output / "proposals" / run_id / f"{found_one['proposal_id']}.json", found_one)
-    packet_path = options.output / "review-packets" / f"{run_id}.md"
-    packet_path.parent.mkdir(parents=True, exist_ok=True)
-    packet_path.write_text(packet.render(run_id, shown, n_sessions, proposals, warned, suppressed, regressions, options.full), encoding="utf-8")
+        commit.write_json(f"proposals/{run_id}/{found_one['proposal_id']}.json", found_one)
+    packet_place = f"review-packets/{run_id}.md"
+    packet_path = options.output / packet_place
+    commit.write_text(packet_place, packet.render(run_id, shown, n_sessions, proposals, warned, suppressed, regressions, options.full))
     after = lifecycle.history_after(history, spark.createDataFrame([(r.target, r.settled) for r in judged], "target string, settled boolean"), run_id).orderBy("target", "nth").collect()
     runs: dict[str, list[str]] = {}
     for r in after:
         runs.setdefault(r.target, []).append(r.run_id)
     state |= {"schema_version": catalog.SCHEMA_VERSION, "target_run_history": runs, "last_scan_started_at": begun, "last_run_id": run_id, "seen_proposal_keys": sorted({*state.get("seen_proposal_keys", []), *(d["proposal_key"] for d in proposals)})}
-    control.write_json(options.output / "state.json", state)
-    control.write_json(options.output / "runs" / f"{run_id}.json", {**result, "review_packet": str(packet_path)})
+    commit.write_json("state.json", state)
+    commit.write_json(f"runs/{run_id}.json", {**result, "review_packet": str(packet_path)})
+    commit.finish()
     print(f"scanned={n_files} sessions_with_signals={n_sessions} proposals={len(proposals)}")
     print(f"resolved_suppressed={len(suppressed)} targets={','.join(result['resolved_suppressed_targets']) or '-'} regressions={len(regressions)}")
     print(f"review_packet={packet_path}")
     if proposals:
         print(f"proposal_dir={options.output / 'proposals' / run_id}")
     return 0
-
-
-def index_new_sessions(spark: SparkSession, index: DataFrame, path: Path) -> int:
-    """Append the sessions that are not on record with the same end, by the executors; return how many.
-
-    The record is a folder of JSON lines with sorted keys.
-    """
-    picked = index.select(*sorted(INDEX_FIELDS), "session_ord")
-    if path.exists():
-        picked = lifecycle.new_rows(picked, spark.read.schema("path string, ended_at string").json(str(path)))
-    picked = shared.keep(picked, "new-sessions")  # it reads what it is about to extend
-    picked.orderBy("session_ord").drop("session_ord").write.mode("append").option("ignoreNullFields", False).json(str(path))
-    return picked.count()

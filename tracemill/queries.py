@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill import catalog, mined_queries
+from tracemill import catalog, mined_queries, program_queries
 from tracemill.config import Settings
 from tracemill.functions import text as tx
 from tracemill.functions.shell import tracked_names
@@ -19,8 +19,8 @@ from tracemill.plans.scan import health_warnings, parse_stats
 from tracemill.sources import transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(mined_queries.QUERIES)
-SQL: dict[str, str] = dict(mined_queries.SQL)
+QUERIES: dict[str, Query] = mined_queries.QUERIES | program_queries.QUERIES
+SQL: dict[str, str] = mined_queries.SQL | program_queries.SQL
 
 
 def query(sql: str | None = None):
