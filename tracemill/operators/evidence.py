@@ -99,10 +99,15 @@ def found_in(items: DataFrame, settings: Settings, more: tuple[str, ...] = ()) -
     items = items.withColumn("quiet", quiet).withColumn("payload", F.when(F.col("quiet"), tx.empty_payload(output)))
     items = items.withColumn("blamed", F.when(F.col("failed") & F.col("bash"), _blamed(output, clis, F.col("source"))).otherwise(F.array().cast("array<string>")))
 
-    # words are masked and cut once an item, however many rows they come to stand in
-    redacted = {"redacted_text": F.when(F.col("correction"), F.col("text")), "redacted_output": F.when(F.expr("failed OR hung"), output), "redacted_command": call["command"], "redacted_sole": F.when(F.col("payload").isNotNull(), call["sole"])}
-    items = items.withColumns({n: F.when(t.isNotNull(), tx.redact(t, settings)) for n, t in redacted.items()})
-    shown = {"masked_text": ("redacted_text", catalog.EXCERPT_CHARS), "masked_output": ("redacted_output", catalog.EXCERPT_CHARS), "masked_call": ("redacted_command", catalog.EXCERPT_CHARS), "masked_command": ("redacted_command", catalog.COMMAND_CHARS), "masked_sole": ("redacted_sole", catalog.COMMAND_CHARS), "masked_payload": ("payload", catalog.EXCERPT_CHARS)}
+    # words are masked once an item, however many rows they come to stand in, and by one expression for all of them
+    slashes = F.when(F.col("text") != "", F.regexp_extract_all("text", F.lit(java(catalog.SLASH_COMMAND)), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    skilled = is_call & (tool == "Skill") & (F.col("skill") != "") & (F.col("source") == "claude")
+    items = items.withColumns({"slashes": slashes, "skilled": skilled})
+    words = {"text": F.when(F.col("correction"), F.col("text")), "output": F.when(F.expr("failed OR hung"), output), "command": call["command"], "sole": F.when(F.col("payload").isNotNull(), call["sole"]), "skill": F.when(F.col("skilled"), F.concat(F.lit("Skill("), F.col("skill"), F.lit(")")))}
+    every = F.concat(F.array(*words.values()), F.transform("slashes", lambda n: F.concat(F.lit("/"), n)))
+    items = items.withColumn("redacted", F.transform(every, lambda t: F.when(t.isNotNull(), tx.redact(t, settings))))
+    items = items.withColumns({f"redacted_{n}": F.get("redacted", F.lit(k)) for k, n in enumerate(words)} | {"redacted_slashes": F.slice("redacted", len(words) + 1, F.size("slashes"))})
+    shown = {"masked_text": ("redacted_text", catalog.EXCERPT_CHARS), "masked_output": ("redacted_output", catalog.EXCERPT_CHARS), "masked_call": ("redacted_command", catalog.EXCERPT_CHARS), "masked_command": ("redacted_command", catalog.COMMAND_CHARS), "masked_sole": ("redacted_sole", catalog.COMMAND_CHARS), "masked_payload": ("payload", catalog.EXCERPT_CHARS), "masked_skill": ("redacted_skill", catalog.EXCERPT_CHARS)}
     items = items.withColumns({n: F.when(F.col(t).isNotNull(), tx.shorten(F.col(t), most, settings)) for n, (t, most) in shown.items()})  # a payload is one of a few shapes, with nothing to mask
 
     def found(where, lst, entity, kind, text, tool="", command="", session="session_id", phase=0, sub=None, pos=None, cli_pos=0) -> Column:
@@ -120,13 +125,12 @@ def found_in(items: DataFrame, settings: Settings, more: tuple[str, ...] = ()) -
     command, sole, sid, last = F.col("masked_command"), F.col("masked_sole"), F.col("session_id"), F.col("last_session_id")
     text, output, payload = F.col("masked_text"), F.col("masked_output"), F.col("masked_payload")
     at = (F.col("sub"), F.col("pos"))
-    slashes = F.regexp_extract_all("text", F.lit(java(catalog.SLASH_COMMAND)), F.lit(1))
-    brief = lambda t: tx.shorten(tx.redact(t, settings), catalog.EXCERPT_CHARS, settings)
+    cut = lambda t: tx.shorten(t, catalog.EXCERPT_CHARS, settings)
     many = [
-        each(F.col("text") != "", slashes, lambda n, k: row("slash", n, catalog.SLASH, brief(F.concat(F.lit("/"), n)), "", "", sid, 0, 0, k, 0)),
+        each(F.size("slashes") > 0, F.col("slashes"), lambda n, k: row("slash", n, catalog.SLASH, cut(F.get("redacted_slashes", k)), "", "", sid, 0, 0, k, 0)),
         found((F.col("text") != "") & F.col("correction"), "correction", "", catalog.CORRECTION, text, sub=1),
         found(is_call, "call", "", "call", "", tool, command),
-        found(is_call & (tool == "Skill") & (F.col("skill") != "") & (F.col("source") == "claude"), "skill", F.col("skill"), catalog.SKILL, brief(F.concat(F.lit("Skill("), F.col("skill"), F.lit(")"))), tool),
+        found(F.col("skilled"), "skill", F.col("skill"), catalog.SKILL, F.col("masked_skill"), tool),
         each(is_call & (F.col("call.command") != ""), clis, lambda c, k: row("cli", c, catalog.INVOCATION, F.col("masked_call"), tool, command, sid, 0, *at, k)),
         found(F.col("failed"), "failure", "", catalog.FAILURE, output, tool, command),
         each(F.col("failed"), F.col("blamed"), lambda c, k: row("cli", c, catalog.FAILURE, output, tool, command, sid, 0, *at, k)),
