@@ -1,5 +1,6 @@
 """The registered queries: their columns and rows, and plain versions of what SQL can't say."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -8,12 +9,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers as P
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from llm.test_operators import words_of
-from tracemill.llm import _common, chat_format, interpolation, license_scan, quality, simhash, suffix_dedup
+from tracemill.llm import _common, byte_bpe, chat_format, collocations, interpolation, license_scan, mixing, packing, quality, simhash, simhash_dedup, similar_texts, suffix_dedup
 from tracemill.llm.entry import queries
 
 #: Columns that come first, and their types.
@@ -28,8 +31,11 @@ COLUMNS = {
     "op8_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op9_chat_format": "",
     "op10_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op11_sessions": "client_id bigint, session_id bigint, start_us bigint, end_us bigint, n_clicks bigint, n_late bigint, value_cents bigint, closed_by string, path_sha256 string",
+    "op12_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op13_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
 }
-PER_DOCUMENT = ("op2", "op3", "op4", "op7", "op8", "op10")
+PER_DOCUMENT = ("op2", "op3", "op4", "op7", "op8", "op10", "op12")
 
 
 @pytest.mark.parametrize("name", COLUMNS)
@@ -186,6 +192,34 @@ def test_site_posteriors_by_hand(spark, sf_dir, docs):
         assert got[i].p_accept == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9) and got[i].accept == (got[i].p_accept >= quality.THRESHOLD - 1e-12)
 
 
+def test_long_texts_whole(spark):
+    """Three million bytes in one text: read to its end by every other operator over documents."""
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    long_one = " ".join(rng.choice(vocabulary) for _ in range(430_000))
+    texts = {1: long_one, 2: long_one + " theend", 3: None, 4: "", 5: "short and plain"}
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    judged = {r.doc_id for r in quality.classify(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    assert judged == set(texts)
+    prints = {r.doc_id: r for r in simhash.fingerprint_documents(df).collect()}
+    assert {i: r.n_chars for i, r in prints.items()} == {i: len(t or "") for i, t in texts.items()} and prints[3].fp == prints[4].fp
+    near = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(df).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    stay = {r.doc_id for r in similar_texts.deduplicate(df).collect()}
+    assert stay == {1, 3, 5}
+    mixed, _ = mixing.mix_sources(df, F.array("source"))
+    assert {r.doc_id: r.size for r in mixed.collect()} == {1: 430_000, 2: 430_001, 3: 0, 4: 0, 5: 3}
+    counted = {r.phrase: r.a for r in collocations.frequent_phrases(df, _common.Tables(spark, "long"))[0].where("words = 1").collect()}
+    words = Counter(words_of(long_one))
+    assert counted == {w: 2 * n for w, n in words.items() if 2 * n >= collocations.LEAST}
+    some = df.where("doc_id IN (2, 3, 5)")
+    pieces = packing.pack_documents(some, P.path("word_bpe_49k.json")).collect()
+    whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert {i: sum(p.length for p in pieces if p.doc_id == i) for i in (2, 3, 5)} == {i: len(whole.encode(texts[i] or "", add_special_tokens=False).ids) + 1 for i in (2, 3, 5)}
+    digests = {r.doc_id: r for r in byte_bpe.digest_documents(some, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
+    assert all(digests[i].decoded_sha256 == hashlib.sha256((texts[i] or "").encode()).hexdigest() for i in (2, 3, 5))
+
+
 def test_a_text_longer_than_a_chunk(spark):
     """Seventeen million bytes in one text, and a copy of a part of it."""
     rng = random.Random(9)
