@@ -52,6 +52,14 @@ def test_only_chosen_files_are_opened(spark, tmp_path):
     assert ".collect(" not in inspect.getsource(transcripts)
 
 
+def test_odd_names(spark, tmp_path):
+    home = tmp_path / "a b+c%20é"
+    in_claude(home, "x y+%41", ["{}", "{}"], 100)
+    picked = transcripts.choose(transcripts.discover(spark, [home]))
+    assert [r.path for r in picked.files.collect()] == [str(home / ".claude/projects/p/x y+%41.jsonl")]
+    assert [(r.path, r.line) for r in transcripts.read_lines(spark, picked).orderBy("line").collect()] == [(str(home / ".claude/projects/p/x y+%41.jsonl"), n) for n in (1, 2)]
+
+
 def test_ten_thousand_files(spark, tmp_path):
     """Files come with ties, and their numbers are those of one sort."""
     rng = random.Random(1)

@@ -51,7 +51,7 @@ def _exists(spark: SparkSession, uri: str) -> bool:
 
 
 def _uri(home: Path | str) -> str:
-    return str(home).rstrip("/") if "://" in str(home) else Path(home).expanduser().absolute().as_uri().rstrip("/")
+    return str(home).rstrip("/") if "://" in str(home) else f"file://{Path(home).expanduser().absolute()}".rstrip("/")  # as it is spelt, blanks and all
 
 
 def discover(spark: SparkSession, homes: list[Path | str], source: str = "all") -> Transcripts:
