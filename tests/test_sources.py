@@ -12,7 +12,7 @@ from transcripts import claude, in_claude, in_codex, result, use
 
 from tracemill.config import Settings
 from tracemill.operators import evidence, normalize, ordinals
-from tracemill.sources import transcripts
+from tracemill.sources import shared, transcripts
 
 
 def chosen(found, *args):
@@ -52,6 +52,14 @@ def test_only_chosen_files_are_opened(spark, tmp_path):
     assert ".collect(" not in inspect.getsource(transcripts)
 
 
+def test_settings_are_given_back(spark):
+    before = spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.own.setting", None)
+    with pytest.raises(KeyError), shared.settings_of(spark, spark__sql__session__timeZone="Asia/Tokyo", spark__own__setting="1"):
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo" and spark.conf.get("spark.own.setting") == "1"
+        raise KeyError
+    assert before == (spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.own.setting", None))
+
+
 def test_odd_names(spark, tmp_path):
     home = tmp_path / "a b+c%20é"
     in_claude(home, "x y+%41", ["{}", "{}"], 100)

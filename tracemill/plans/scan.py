@@ -101,9 +101,12 @@ def document(row, created: str) -> dict:
 
 
 def run(spark: SparkSession, options: Options) -> int:
-    """A whole scan; 2 if the registry of resolutions can't be read."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    """A whole scan; 2 if the registry of resolutions can't be read. The session's settings are left as they were."""
+    with shared.settings_of(spark, spark__sql__session__timeZone="UTC", spark__sql__variant__allowDuplicateKeys="true"):
+        return _run(spark, options)
+
+
+def _run(spark: SparkSession, options: Options) -> int:
     settings = replace(Settings().with_overrides(control.load_config(options.config) if options.config else {}), full=options.full)
     if not options.dry_run:
         recover(options.output)  # what a crashed run has left is finished or dropped before its state is read

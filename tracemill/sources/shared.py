@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -20,6 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings_of(spark: SparkSession, **wanted: str):
+    """The session with some settings, dots written as two underscores; afterwards as it was."""
+    names = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield spark
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once and read from there; the files go when the driver ends."""
     spark = df.sparkSession
