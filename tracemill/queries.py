@@ -19,8 +19,8 @@ from tracemill.plans.scan import health_warnings, parse_stats
 from tracemill.sources import transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = mined_queries.QUERIES | program_queries.QUERIES
-SQL: dict[str, str] = mined_queries.SQL | program_queries.SQL
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -132,6 +132,10 @@ def token_names(spark, sf_dir):
     return commands.select("command", F.array_join(tracked_names(Settings(), F.col("command")), ",").alias("names"))
 
 
+QUERIES |= mined_queries.QUERIES | program_queries.QUERIES
+SQL |= mined_queries.SQL | program_queries.SQL
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Every proposal that the engine finds in the rendered transcripts."""
     return mined_queries.improvement_proposals(spark, sf_dir)
