@@ -58,8 +58,8 @@ GUARDS: dict[str, tuple[str, tuple[str, ...]]] = dict(
 )
 
 
-def _may_match(text: Column, pattern: str) -> Column:
-    kind, needed = GUARDS[pattern]
+def _may_match(text: Column, guard: tuple[str, tuple[str, ...]]) -> Column:
+    kind, needed = guard
     if kind == "pattern":
         return matches(text, needed[0])
     body, out = F.lower(F.upper(text)) if kind == "lower" else text, F.lit(False)
@@ -68,11 +68,11 @@ def _may_match(text: Column, pattern: str) -> Column:
     return out
 
 
-def _guarded(pattern: str, by: str) -> Callable[[Column], Column]:
-    return lambda text: F.when(_may_match(text, pattern), replace_all(text, pattern, by)).otherwise(text)
+def _guarded(pattern: str, by: str, guard: tuple[str, tuple[str, ...]]) -> Callable[[Column], Column]:
+    return lambda text: F.when(_may_match(text, guard), replace_all(text, pattern, by)).otherwise(text)
 
 
-def redact(text: Column, settings: Settings = Settings()) -> Column:
+def redact(text: Column, settings: Settings = Settings(), guards: dict[str, tuple[str, tuple[str, ...]]] = GUARDS) -> Column:
     """All rules in their order; nothing under ``full``. A rule runs where its guard holds.
 
     Each rule is a function of one variable, so that the plan holds every pattern once.
@@ -81,8 +81,8 @@ def redact(text: Column, settings: Settings = Settings()) -> Column:
     if settings.full:
         return out
     for pattern, by in settings.redactions:
-        if pattern in GUARDS:
-            out = F.get(F.transform(F.array(out), _guarded(pattern, by)), F.lit(0))
+        if pattern in guards:
+            out = F.get(F.transform(F.array(out), _guarded(pattern, by, guards[pattern])), F.lit(0))
         else:
             out = replace_all(out, pattern, by)
     return out
