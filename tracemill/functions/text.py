@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import operator
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,10 +64,19 @@ def _may_match(text: Column, guard: tuple[str, tuple[str, ...]]) -> Column:
     kind, needed = guard
     if kind == "pattern":
         return matches(text, needed[0])
-    body, out = F.lower(F.upper(text)) if kind == "lower" else text, F.lit(False)
-    for word in needed:
-        out = out | body.contains(word)
-    return out
+    return _holds(F.lower(F.upper(text)), needed) if kind == "lower" else _holds(text, needed)
+
+
+def _holds(text: Column, words: Iterable[str]) -> Column:
+    """Whether any of the words occurs in the text, which is worked out once."""
+    return F.exists(F.array(text), lambda t: reduce(operator.or_, map(t.contains, words)))
+
+
+def _any_may_match(text: Column, guards: Iterable[tuple[str, tuple[str, ...]]]) -> Column:
+    """Whether any guard may hold: its words in any case, or its pattern. If none does, no rule changes the text."""
+    words = {w.lower() for kind, needed in guards if kind != "pattern" for w in needed}
+    patterns = {needed[0] for kind, needed in guards if kind == "pattern"}
+    return reduce(operator.or_, (matches(text, p) for p in sorted(patterns)), _holds(F.lower(F.upper(text)), sorted(words)))
 
 
 def _guarded(pattern: str, by: str, guard: tuple[str, tuple[str, ...]]) -> Callable[[Column], Column]:
@@ -73,13 +84,20 @@ def _guarded(pattern: str, by: str, guard: tuple[str, tuple[str, ...]]) -> Calla
 
 
 def redact(text: Column, settings: Settings = Settings(), guards: dict[str, tuple[str, tuple[str, ...]]] = GUARDS) -> Column:
-    """All rules in their order; nothing under ``full``. A rule runs where its guard holds.
+    """All rules in their order; nothing under ``full``. A rule runs where its guard holds, and none where no guard does.
 
     Each rule is a function of one variable, so that the plan holds every pattern once.
     """
-    out = F.coalesce(text, F.lit(""))
+    whole = F.coalesce(text, F.lit(""))
     if settings.full:
-        return out
+        return whole
+    if all(pattern in guards for pattern, _ in settings.redactions):
+        used = [guards[pattern] for pattern, _ in settings.redactions]
+        return F.get(F.transform(F.array(whole), lambda t: F.when(_any_may_match(t, used), _redacted(t, settings, guards)).otherwise(t)), F.lit(0))
+    return _redacted(whole, settings, guards)
+
+
+def _redacted(out: Column, settings: Settings, guards: dict[str, tuple[str, tuple[str, ...]]]) -> Column:
     for pattern, by in settings.redactions:
         if pattern in guards:
             out = F.get(F.transform(F.array(out), _guarded(pattern, by, guards[pattern])), F.lit(0))
@@ -117,7 +135,8 @@ def kind_of(value: Column) -> Column:
 
 
 def is_kind(value: Column, kind: str) -> Column:
-    return F.coalesce(kind_of(value) == kind, F.lit(False))
+    """kind: OBJECT, ARRAY, STRING or BOOLEAN; no other kind's name begins so."""
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
 def field(value: Column, name: str) -> Column:
@@ -212,10 +231,8 @@ def is_scaffold(text: Column, path: Column, settings: Settings) -> Column:
     """Text that a harness put in and no user typed."""
     body = F.regexp_replace(F.coalesce(text, F.lit("")), java(r"^\s+"), "")
     head = F.lower(F.substring(body, 1, catalog.SCAFFOLD_CHARS))
-    out = path.contains("/subagents/") | matches(body, catalog.LEADING_TAG)
-    for marker in settings.scaffold_markers:
-        out = out | head.contains(marker)
-    return out
+    marked = F.when(F.coalesce(text, F.lit("")) == "", False).otherwise(matches(body, catalog.LEADING_TAG) | _holds(head, settings.scaffold_markers))
+    return path.contains("/subagents/") | marked
 
 
 def is_pasted(text: Column) -> Column:

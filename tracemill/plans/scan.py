@@ -47,11 +47,15 @@ def since(options: Options, state: dict) -> dt.datetime | None:
 
 
 def mine(lines: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(calls of all files, evidence, session index) of numbered lines. Sessions without a signal leave the evidence."""
+    """(calls of all files, evidence, session index) of numbered lines. Sessions without a signal leave the evidence.
+
+    Anything but a call is a signal, so only calls are held against the index; a reader of another list opens its files alone.
+    """
     rows = normalize.with_context(normalize.normalized(transcripts.records(lines)), settings)
-    found = shared.keep(evidence.evidence(rows, settings), "evidence")
+    found = shared.keep(evidence.evidence(rows, settings), "evidence", ("list",))
     index = shared.keep(evidence.sessions(found), "sessions")
-    return found.where("list = 'call'").select("path"), found.join(index.select("path"), "path", "left_semi"), index
+    calls = found.where("list = 'call'")
+    return calls.select("path"), found.where("list <> 'call'").unionByName(calls.join(index.select("path"), "path", "left_semi")), index
 
 
 def parse_stats(calls: DataFrame, files: DataFrame) -> DataFrame:

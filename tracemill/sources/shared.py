@@ -35,11 +35,14 @@ def settings_of(spark: SparkSession, **wanted: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once and read from there; the files go when the driver ends."""
+def keep(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows, written once and read from there; the files go when the driver ends.
+
+    by: columns of few values, each with files of its own, so that a reader of some values opens no others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
 
     def remove() -> None:
         try:
@@ -49,4 +52,4 @@ def keep(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -123,9 +123,14 @@ def number_lines(texts: DataFrame, column: str) -> DataFrame:
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """The lines that are JSON objects, as variants in the column rec; others are passed over."""
-    parsed = lines.withColumn("rec", F.try_parse_json(F.trim("raw"))).drop("raw")
-    return parsed.where(tx.is_kind(F.col("rec"), "OBJECT"))
+    """The lines that are JSON objects, as variants in the column rec; others are passed over.
+
+    A line is parsed once: a filter over the parsed column would be pushed below it and parse again. What parses and
+    begins with a brace is an object.
+    """
+    shown = lines.where(F.ltrim("raw", F.lit(" \t\r\n")).startswith("{"))
+    parsed = F.filter(F.array(F.try_parse_json(F.trim("raw"))), lambda r: r.isNotNull())
+    return shown.select(*(c for c in lines.columns if c != "raw"), F.explode(parsed).alias("rec"))
 
 
 def stream_lines(spark: SparkSession, root: str, source: str) -> DataFrame:
