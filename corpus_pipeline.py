@@ -39,6 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal or similar texts: the one with the least id; the rest as in ``similar_texts``.
 
+    SimHash components (``simhash_dedup``, three of 64 bits) propose, bands propose what is further apart; exact similarity decides.
     All null and empty texts are equal, so one of them stays; of repeated rows one stays; a null id goes before any other.
     """
     _common.tune(spark)

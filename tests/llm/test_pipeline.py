@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm.test_operators import plain_components, plain_removal, shingle_set
-from tracemill.llm import similar_texts
+from tracemill.llm import simhash_dedup, similar_texts
 
 ODD = "_id string, _node string, _own string, gone_id string, gone_node string, own_id string, node string, row string, spans string, cluster string, accept string, rejected_id string, nth string"
 
@@ -88,3 +88,25 @@ def test_shared_hashes(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "d e f"), (4, "longer text")], "doc_id long, text string")
     node = similar_texts._node_of(df, None)
     assert df.select("doc_id", node.alias("n")).distinct().groupBy("n").count().count() >= 2
+
+
+def test_simhash_components_propose(spark, sf_dir, monkeypatch):
+    """Near copies within three bits are found where no band is shared; texts of equal fingerprints that differ stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(6))
+    rows = []
+    while len(rows) < 20:
+        text = [word() for _ in range(400)]
+        copy = [*text]
+        copy[200] = word()
+        a, b = (simhash_dedup.majority(simhash_dedup.shingle_hashes(" ".join(x))) for x in (text, copy))
+        if (a ^ b).bit_count() <= 3:
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy))]
+    line = "zero " * 200
+    rows += [(20 + k, line + " ".join(word() for _ in range(60))) for k in range(4)]
+    assert len({simhash_dedup.majority(simhash_dedup.shingle_hashes(t)) for _, t in rows[20:]}) == 1
+    banded = similar_texts.bands_of
+    monkeypatch.setattr(similar_texts, "bands_of", lambda docs, bands: banded(docs, bands).withColumn("bands", F.array("node")))
+    df = spark.createDataFrame([(n, t, "en", "s", len(t)) for n, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, sf_dir).collect()}
+    assert kept == {*range(0, 20, 2), *range(20, 24)}

@@ -1,12 +1,16 @@
-"""Groups of similar texts: MinHash bands propose, signatures sift what has met, exact shingle similarity decides.
+"""Groups of similar texts: SimHash components and MinHash bands propose, signatures sift what has met, exact shingle
+similarity decides.
 
-A text's set is that of its five-word shingles, and what proposes is that same set: whether two texts have an equal
+First come the fingerprints of ``simhash_dedup``, by its covering masks, verified bits and components: whatever they link
+has met, without exception. Texts at a similarity of 0.8 are often further apart than the radius of the masks (some ten
+bits of 64), so bands go on from there. A text's set is that of its five-word shingles: whether two texts have an equal
 minimum under one permutation has their Jaccard similarity as its chance, whatever kind of edit made them differ. A band
 is ``ROWS`` minima; texts that share a band have met. There are so many bands that two texts at the threshold share none
 with a chance of at most ``MISS``: at a similarity of 0.8, 50 bands of eight.
 
-Texts that have met may still be far apart: pages of one frame share many bands. So a text's signature, four bits of each
-of its minima, goes along, and within a band a text is linked only to leaders that it is ``NEAR``. A text as ``CLOSE`` as
+Texts that have met may still be far apart: pages of one frame share many bands, and a line that is repeated often enough
+makes the whole fingerprint. So a text's signature, four bits of each of its minima, goes along, and within a band or a
+component a text is linked only to leaders that it is ``NEAR``. A text as ``CLOSE`` as
 that to no leader becomes a leader itself. If two texts are similar and one of them has a leader, the other is near the
 same leader: distances of sets add up (0.2 and 0.1), and NEAR leaves three deviations of the estimate besides. What such
 links connect, and nothing else, is compared by its shingles, some hundred texts at a time, and texts at or above the
@@ -32,6 +36,7 @@ from pyspark.sql import Window as W
 from tracemill.llm import _common
 from tracemill.llm import _words as words
 from tracemill.llm.components import connected_components
+from tracemill.llm.simhash_dedup import near_duplicates
 
 SHINGLE, SIMILAR, ROWS, MISS = 5, 0.8, 8, 1e-4
 #: Estimated similarity to a leader from which a text needs no other, and from which it is linked; texts sifted in one go.
@@ -218,7 +223,10 @@ def keepers(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     known = F.col("doc_id").isNotNull()
     nodes = tables.keep(docs.groupBy("node").agg(F.min(F.struct((~known).alias("unknown"), "doc_id")).alias("least")))
     banded = tables.keep(bands_of(docs, bands_for(threshold)).dropDuplicates(["node"]))
-    met = banded.select(F.explode("bands").alias("band"), "node").repartition("band").sortWithinPartitions("band", "node").mapInArrow(_met, "band long, node long")
+    simhash = near_duplicates(docs.select(F.col("node").alias("doc_id"), "text"))
+    simhash = simhash.select(F.xxhash64("component_id").alias("band"), F.col("doc_id").alias("node")).distinct()
+    places = banded.select(F.explode("bands").alias("band"), "node").unionByName(simhash)
+    met = places.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_met, "band long, node long")
     signed = met.join(banded.select("node", "signature"), "node").select("band", "node", "signature")
     links = signed.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_sifted, "a long, b long").distinct()
     clusters = connected_components(links, tables)
