@@ -111,3 +111,33 @@ def test_a_sketch_never_falls_below():
     data = np.frombuffer(text[0].as_py().encode(), np.uint8)
     found = m.Words(data, np.array([0, len(data)]))
     assert found.text.to_pylist() == text[0].as_py().split(" ") and found.first.sum() == 1
+
+
+@pytest.mark.parametrize("group", [1, 3, 100])
+def test_blocks_of_a_group_are_added_up_first(spark, monkeypatch, group):
+    """The same result whatever the group; a group names each counter and each phrase once, however many blocks it has."""
+    monkeypatch.setattr(m, "BLOCK", 200)
+    monkeypatch.setattr(m, "GROUP", group)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    rows, got_partial, got_found = corpus(), [], []
+    partial, survivors = m.partial_sketches, m.survivors
+
+    def sketch(*given):
+        out = partial(*given)
+        got_partial.extend(out.collect())
+        return out
+
+    def survive(*given):
+        out = survivors(*given)
+        got_found.append(out.groupBy("lang", "phrase", "words").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(m, "partial_sketches", sketch)
+    monkeypatch.setattr(m, "survivors", survive)
+    try:
+        assert got(m.mine(spark.createDataFrame(rows, DOCS).repartition(1))) == plain(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {r.part_of for r in got_partial}
+    assert len(got_partial) == len({(r.part, r.part_of) for r in got_partial})
+    assert (len(groups) == 1 and got_found == [1]) if group == 100 else (len(groups) > 3 and got_found[0] > 1)

@@ -1,14 +1,14 @@
 """Collocations: phrases of two to four words that stand together more often than their parts would.
 
 First pass: a count-min sketch of all phrases of one to four words. It has ``ROWS`` rows of counters; a phrase adds to one
-counter in each, so the least of its counters is never below its true count. Texts are gathered into blocks; a block's
-partial sketch is the sorted list of counters that it adds to, and partial sketches are merged by ranges of counters, each
-range in one task. The width follows the number of words, so the sketch is as sharp on a large corpus as on a small one,
-and no task holds more than a range of it. A range answers each block with one bit per counter that the block has named:
-whether its total reaches the least count.
-
-Second pass: a block keeps the phrases whose counters all reach it (and whose beginnings do), and the exact counts of these
-are added up by phrase. Every phrase that reaches the least count is among them, whatever the collisions, and what a
+counter in each, so the least of its counters is never below its true count. Texts are gathered into blocks, and up to
+``GROUP`` blocks of a task into a group; a group's partial sketch is the sorted list of counters that it adds to, and
+partial sketches are merged by ranges of counters, each range in one task. The width follows the number of words, so the
+sketch is as sharp on a large corpus as on a small one, and no task holds more than a range of it. A range answers each
+group with those counters that the group has named and whose total reaches the least count.
+
+Second pass: a block keeps the phrases whose counters all reach it (and whose beginnings do); their exact counts are added
+up by phrase, within the group first. Every phrase that reaches the least count is among them, whatever the collisions, and what a
 collision has let through is dropped by its exact count. Parts of a frequent phrase are as frequent, so the scores need
 nothing else. Scores are whole numbers in decimal arithmetic of 38 digits. A phrase goes if a longer one holds it and has
 ``SUBSUMED`` per cent of its count; the first ones of each language are found in three rounds, so that no task sorts a
@@ -17,8 +17,8 @@ language.
 Defined results: a null text has no words; a null language is ``und``; words are compared as bytes after lower-casing A-Z;
 ties of score and count go to the phrase first in byte order; repeated rows count each; ids and other columns are ignored,
 whatever their names; an empty table gives an empty result. A text longer than a block is a block of its own, some hundred
-bytes of memory for each of its words. A block sends a row to every range of the sketch; a range holds ``RANGE`` entries of
-all blocks, so rows grow with blocks times ranges: some entries each up to about 10 TB of text, with blocks of this size.
+bytes of memory for each of its words. A group sends a row to every range of the sketch; a range holds ``RANGE`` entries of
+all groups, so rows grow with groups times ranges: some entries each up to about 10 TB of text, with groups of this size.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ from tracemill.llm.interpolation import pack, small, unpack
 
 U = np.uint64
 LONGEST, LEAST, SUBSUMED, SCALE, FIRST = 4, 30, 80, 2_000_000, 2000
-#: Words of one block; rows of the sketch; entries of all blocks in one range of counters.
-BLOCK, ROWS, RANGE = 3 << 18, 2, 4 << 20
+#: Words of one block; blocks of one group; rows of the sketch; entries of all groups in one range of counters.
+BLOCK, GROUP, ROWS, RANGE = 3 << 18, 8, 2, 4 << 20
 SALTS = np.array([0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47], U)
 #: Kinds of bytes: of a word, between words, between pieces.
 WORD, BLANK, CUT = 0, 1, 2
@@ -74,25 +74,31 @@ class Words:
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """block, langs, lang_words, vocab, lengths, tokens, lang, first: texts as words of the block's vocabulary."""
-    names = ["block", "langs", "lang_words", "vocab", "lengths", "tokens", "lang", "first"]
-    schema = "block string, langs array<string>, lang_words array<long>, vocab binary, lengths binary, tokens binary, lang binary, first binary"
+    """part_of, langs, lang_words, vocab, lengths, tokens, lang, first: texts as words of the block's vocabulary, the most
+    frequent word first; part_of is the block's group."""
+    names = ["part_of", "langs", "lang_words", "vocab", "lengths", "tokens", "lang", "first"]
+    schema = "part_of string, langs array<string>, lang_words array<long>, vocab binary, lengths binary, tokens binary, lang binary, first binary"
 
-    def flush(texts, langs, firsts) -> pa.RecordBatch:
+    def flush(group, texts, langs, firsts) -> pa.RecordBatch:
         found = pa.chunked_array(texts, pa.large_string()).combine_chunks().dictionary_encode()
         found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+        tokens = found.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(-np.bincount(tokens, minlength=len(found.dictionary)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         kinds = pa.chunked_array(langs, pa.string()).dictionary_encode().combine_chunks()
         kinds = kinds.chunk(0) if isinstance(kinds, pa.ChunkedArray) else kinds
         lang = kinds.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
-        data, at = _common.utf8_of(found.dictionary)
+        data, at = _common.utf8_of(found.dictionary.take(pa.array(order)))
         vocab = zstandard.ZstdCompressor(level=1).compress(bytes(data[at[0] : at[-1]]))
         counts = np.bincount(lang, minlength=len(kinds.dictionary)).tolist()
-        row = [uuid.uuid4().hex, kinds.dictionary.to_pylist(), counts, vocab, pack(np.diff(at).astype(np.uint32)), pack(found.indices.to_numpy(zero_copy_only=False).astype(np.uint32)), pack(lang), pack(np.packbits(np.concatenate(firsts)))]
+        row = [group, kinds.dictionary.to_pylist(), counts, vocab, pack(np.diff(at).astype(np.uint32)), pack(rank[tokens]), pack(lang), pack(np.packbits(np.concatenate(firsts)))]
         types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]):
         texts, langs, firsts, size = [], [], [], 0
+        group, blocks = uuid.uuid4().hex, 0
         for batch in batches:
             data, at = _common.utf8_of(batch.column(1))
             data = np.frombuffer(data, np.uint8)
@@ -105,10 +111,13 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                 firsts.append(found.first)
                 size += len(found.text)
                 if size >= BLOCK:
-                    yield flush(texts, langs, firsts)
+                    yield flush(group, texts, langs, firsts)
                     texts, langs, firsts, size = [], [], [], 0
+                    blocks += 1
+                    if blocks % GROUP == 0:
+                        group = uuid.uuid4().hex
         if size:
-            yield flush(texts, langs, firsts)
+            yield flush(group, texts, langs, firsts)
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     return docs.select(lang, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -146,10 +155,9 @@ class Block:
             at_ = at_[more]
             key = node[more].astype(U) << U(32) | tokens[at_ + k]
 
-    def entries(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The counters of a sketch's row that the block adds to, sorted, and which of them each phrase has."""
-        h = words.mix(np.concatenate(self.hash) ^ SALTS[row]) >> U(64 - bits)
-        return np.unique(h, return_inverse=True)
+    def counters(self, row: int, bits: int) -> np.ndarray:
+        """The counter of a sketch's row that each phrase has."""
+        return words.mix(np.concatenate(self.hash) ^ SALTS[row]) >> U(64 - bits)
 
     def strings(self, alive: np.ndarray):
         """(lang, phrase, words, count) of the phrases that are alive and whose beginnings are."""
@@ -173,28 +181,50 @@ def _bounds(counters: np.ndarray, bits: int, parts: int) -> np.ndarray:
     return np.searchsorted(counters, np.arange(parts + 1, dtype=np.int64).astype(U) * U(width))
 
 
+def _summed(counters: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct counters, sorted, and the sum of each."""
+    order = np.argsort(counters)
+    counters = counters[order]
+    first = np.flatnonzero(np.r_[True, counters[1:] != counters[:-1]][: len(counters)])
+    return counters[first], np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+
+
 def partial_sketches(blocks: DataFrame, bits: int, parts: int) -> DataFrame:
-    """part, block, counters, n: for each range of a sketch's row what each block adds there."""
+    """part, part_of, counters, n: for each range of a sketch's row what each group adds there."""
+    width = (1 << bits) // parts
+
+    def flush(group: str, held: list) -> Iterable[pa.RecordBatch]:
+        for r in range(ROWS):
+            cut = [(counters, n, _bounds(counters, bits, parts)) for counters, n in (row[r] for row in held)]
+            part, terms, sums = [], [], []
+            for p in range(parts):  # blocks are merged range by range, so that little is held twice
+                counters = np.concatenate([c[at[p] : at[p + 1]] for c, _, at in cut])
+                if len(counters):
+                    counters, n = _summed(counters, np.concatenate([n[at[p] : at[p + 1]].astype(np.int64) for _, n, at in cut]))
+                    part.append(r * parts + p)
+                    terms.append(pack(np.diff(counters, prepend=counters.dtype.type(p * width)).astype(np.uint32)))
+                    sums.append(pack(small(n)))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([group] * len(part)), pa.array(terms, pa.binary()), pa.array(sums, pa.binary())], ["part", "part_of", "counters", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]):
+        group, held = None, []
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                b = Block(row)
-                every = np.concatenate(b.count)
-                for r in range(ROWS):
-                    counters, of = b.entries(r, bits)
-                    n = np.bincount(of, every, len(counters)).astype(np.int64)
-                    at = _bounds(counters, bits, parts)
-                    full = np.flatnonzero(at[1:] > at[:-1]).tolist()
-                    terms = [pack(np.diff(counters[at[p] : at[p + 1]], prepend=U(p * ((1 << bits) // parts))).astype(np.uint32)) for p in full]
-                    yield pa.RecordBatch.from_arrays([pa.array([r * parts + p for p in full], pa.int64()), pa.array([row["block"]] * len(full)), pa.array(terms, pa.binary()), pa.array([pack(small(n[at[p] : at[p + 1]])) for p in full], pa.binary())], ["part", "block", "counters", "n"])
+                if held and row["part_of"] != group:
+                    yield from flush(group, held)
+                    held = []
+                group, b = row["part_of"], Block(row)
+                every, narrow = np.concatenate(b.count), np.uint32 if bits <= 32 else U
+                held.append([(c, small(n)) for c, n in (_summed(b.counters(r, bits).astype(narrow), every) for r in range(ROWS))])
+        if held:
+            yield from flush(group, held)
 
-    return blocks.mapInArrow(run, "part long, block string, counters binary, n binary")
+    return blocks.mapInArrow(run, "part long, part_of string, counters binary, n binary")
 
 
 def merged(partial: DataFrame, width: int, least: int) -> DataFrame:
-    """part, block, reached: for each counter that a block has named, a bit: whether the sum of all blocks reaches least."""
+    """part, part_of, reached: of the counters that a group has named those of which the sum of all groups reaches least."""
 
     def run(table: pa.Table) -> pa.Table:
         named = [np.cumsum(unpack(x), dtype=np.int64) for x in table.column("counters").to_pylist()]
@@ -202,28 +232,38 @@ def merged(partial: DataFrame, width: int, least: int) -> DataFrame:
         for at, n in zip(named, table.column("n").to_pylist(), strict=True):
             total[at] += unpack(n).astype(np.int64)
         reached = total >= least
-        bits = [np.packbits(reached[at]).tobytes() for at in named]
-        return pa.table({"part": table.column("part"), "block": table.column("block"), "reached": pa.array(bits, pa.binary())})
+        lists = [pack(np.diff(at[reached[at]], prepend=0).astype(np.uint32)) for at in named]
+        return pa.table({"part": table.column("part"), "part_of": table.column("part_of"), "reached": pa.array(lists, pa.binary())})
 
-    return partial.groupBy("part").applyInArrow(run, "part long, block string, reached binary")
+    return partial.groupBy("part").applyInArrow(run, "part long, part_of string, reached binary")
 
 
 def survivors(blocks: DataFrame, reached: DataFrame, bits: int, parts: int) -> DataFrame:
-    """lang, phrase, words, n: what the sketch lets through, counted in each block."""
+    """lang, phrase, words, n: what the sketch lets through, counted in each group."""
+    width = (1 << bits) // parts
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left.slice(0, 1).to_pylist()[0])
-        got = dict(zip(right.column("part").to_pylist(), right.column("reached").to_pylist(), strict=True))
-        alive = np.ones(sum(len(c) for c in b.count), bool)
+        got: list[list[np.ndarray]] = [[np.empty(0, U)] for _ in range(ROWS)]
+        for part, gaps in zip(right.column("part").to_pylist(), right.column("reached").to_pylist(), strict=True):
+            got[part // parts].append(np.cumsum(unpack(gaps), dtype=U) + U(part % parts * width))
+        often = [np.unique(np.concatenate(x)) for x in got]
+        sieve = np.zeros((ROWS, 1 << 22), bool)  # most counters are told apart by their last bits
         for r in range(ROWS):
-            counters, of = b.entries(r, bits)
-            at = np.diff(_bounds(counters, bits, parts)).tolist()
-            flags = [np.unpackbits(np.frombuffer(got[r * parts + p], np.uint8), count=n) for p, n in enumerate(at) if n]
-            alive &= np.concatenate(flags).astype(bool)[of]
-        out = [pa.table({"lang": lang, "phrase": text.cast(pa.string()), "words": pa.array(np.full(len(n), k, np.int32)), "n": pa.array(n, pa.int64())}) for lang, text, k, n in b.strings(alive)]
-        return pa.concat_tables(out)
-
-    return blocks.groupBy("block").cogroup(reached.groupBy("block")).applyInArrow(run, "lang string, phrase string, words int, n long")
+            sieve[r, often[r] & U((1 << 22) - 1)] = True
+        out = []
+        for k in range(left.num_rows):
+            b = Block(left.slice(k, 1).to_pylist()[0])
+            alive = np.ones(sum(len(c) for c in b.count), bool)
+            for r in range(ROWS):
+                counters = b.counters(r, bits)
+                alive &= sieve[r, counters & U((1 << 22) - 1)]
+                at = np.flatnonzero(alive)
+                alive[at] = np.isin(counters[at], often[r])
+            out += [pa.table({"lang": lang, "phrase": text, "words": pa.array(np.full(len(n), k, np.int32)), "n": pa.array(n, pa.int64())}) for lang, text, k, n in b.strings(alive)]
+        added = pa.concat_tables(out).combine_chunks().group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
+        return added.set_column(1, "phrase", added.column("phrase").cast(pa.string()))
+
+    return blocks.groupBy("part_of").cogroup(reached.groupBy("part_of")).applyInArrow(run, "lang string, phrase string, words int, n long")
 
 
 def frequent_phrases(docs: DataFrame, tables: _common.Tables, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
