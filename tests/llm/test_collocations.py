@@ -141,3 +141,41 @@ def test_blocks_of_a_group_are_added_up_first(spark, monkeypatch, group):
     groups = {r.part_of for r in got_partial}
     assert len(got_partial) == len({(r.part, r.part_of) for r in got_partial})
     assert (len(groups) == 1 and got_found == [1]) if group == 100 else (len(groups) > 3 and got_found[0] > 1)
+
+
+@pytest.mark.parametrize("bound", [m.RANGE, 50])
+def test_groups_hand_on_lists(spark, monkeypatch, bound):
+    """What a group hands on is a list for each language, length and range, however many phrases it keeps; each phrase is in
+    one list of a group, and lists that are added up some at a time give the same result."""
+    monkeypatch.setattr(m, "BLOCK", 200)
+    monkeypatch.setattr(m, "GROUP", 2)
+    monkeypatch.setattr(m, "RANGE", bound)
+    rows, seen = corpus(9), []
+    survivors = m.survivors
+
+    def survive(blocks, reached, bits, parts):
+        out = survivors(blocks, reached, bits, parts)
+        seen.append((blocks.select("part_of").distinct().count(), max(1, parts // m.RANGES), out.collect()))
+        return out
+
+    monkeypatch.setattr(m, "survivors", survive)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        assert got(m.mine(spark.createDataFrame(rows, DOCS).repartition(1))) == plain(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups, ranges, lists = seen[0]
+    phrases = [(r.lang, r.words, len(m.unpack(r.lengths))) for r in lists]
+    cells = {(lang, words) for lang, words, _ in phrases}
+    assert groups > 3 and (ranges > 1) == (bound == 50)
+    assert len(lists) <= groups * ranges * len(cells) and sum(n for _, _, n in phrases) > len(lists)
+    for r in lists:
+        text = m.zstandard.ZstdDecompressor().decompress(r.texts)
+        at = np.r_[0, np.cumsum(m.unpack(r.lengths).astype(int))].tolist()
+        spelled = [text[i:j].decode() for i, j in zip(at, at[1:], strict=False)]
+        assert at[-1] == len(text) and len(spelled) == len(set(spelled)) == len(m.unpack(r.n))
+        assert {x.count(" ") + 1 for x in spelled} == {r.words}
+
+
+def test_a_sketch_is_as_wide_as_the_words_are_many():
+    assert [m.width_of(n) for n in (0, 1, 1 << 16, 1 << 27, (1 << 27) + (1 << 20), 3 << 26, (1 << 28) - 1)] == [16, 16, 16, 27, 27, 28, 28]

@@ -8,8 +8,11 @@ sketch is as sharp on a large corpus as on a small one, and no task holds more t
 group with those counters that the group has named and whose total reaches the least count.
 
 Second pass: a block keeps the phrases whose counters all reach it (and whose beginnings do); their exact counts are added
-up by phrase, within the group first. Every phrase that reaches the least count is among them, whatever the collisions, and what a
-collision has let through is dropped by its exact count. Parts of a frequent phrase are as frequent, so the scores need
+up by phrase, within the group first, as numbers of the group's words. A group spells each of its phrases once and hands
+them on as packed lists, one for each language, length and range of hashes, which are added up by their letters. A phrase
+is in at most as many lists as it occurs, and the table that comes out has at most ``LONGEST`` / least rows for each word
+of the input. Every phrase that reaches the least count is among them, whatever the collisions, and what a collision has let
+through is dropped by its exact count. Parts of a frequent phrase are as frequent, so the scores need
 nothing else. Scores are whole numbers in decimal arithmetic of 38 digits. A phrase goes if a longer one holds it and has
 ``SUBSUMED`` per cent of its count; the first ones of each language are found in three rounds, so that no task sorts a
 language.
@@ -23,6 +26,7 @@ all groups, so rows grow with groups times ranges: some entries each up to about
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterable
 
@@ -42,6 +46,8 @@ U = np.uint64
 LONGEST, LEAST, SUBSUMED, SCALE, FIRST = 4, 30, 80, 2_000_000, 2000
 #: Words of one block; blocks of one group; rows of the sketch; entries of all groups in one range of counters.
 BLOCK, GROUP, ROWS, RANGE = 3 << 18, 8, 2, 4 << 20
+#: Ranges of a sketch's row to one range of the phrases of a language and length.
+RANGES = 16
 SALTS = np.array([0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47], U)
 #: Kinds of bytes: of a word, between words, between pieces.
 WORD, BLANK, CUT = 0, 1, 2
@@ -159,23 +165,48 @@ class Block:
         """The counter of a sketch's row that each phrase has."""
         return words.mix(np.concatenate(self.hash) ^ SALTS[row]) >> U(64 - bits)
 
-    def strings(self, alive: np.ndarray):
-        """(lang, phrase, words, count) of the phrases that are alive and whose beginnings are."""
+    def kept(self, alive: np.ndarray):
+        """Level by level (parent, word, count, hash) of the phrases that are alive and whose beginnings are; a parent is a
+        place among what is kept of the level above, at first a language."""
         cuts = np.cumsum([len(c) for c in self.count])[:-1]
-        texts, above, place = None, None, None
+        above, place = None, None
         for k, mine in enumerate(np.split(alive, cuts)):
             mine = mine if k == 0 else mine & above[self.parent[k]]
             at = np.flatnonzero(mine)
-            word = self.vocab.take(pa.array(self.word[k][at]))
-            if k == 0:
-                texts, lang = word, self.parent[0][at]
-            else:
-                up = place[self.parent[k][at]]
-                texts, lang = pc.binary_join_element_wise(texts.take(pa.array(up)), word, pa.scalar(" ", pa.large_string())), lang[up]
-            yield pa.array(self.langs, pa.string()).take(pa.array(lang)), texts, k + 1, self.count[k][at]
+            parent = self.parent[k][at]
+            yield parent if k == 0 else place[parent], self.word[k][at], self.count[k][at], self.hash[k][at]
             above, place = mine, np.cumsum(mine) - 1
 
 
+def _renumbered(lists: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct values of all lists, and for each list the numbers of its values among them."""
+    found = pa.concat_arrays(lists).dictionary_encode()
+    return found.dictionary, np.split(found.indices.to_numpy(zero_copy_only=False).astype(U), np.cumsum([len(x) for x in lists])[:-1])
+
+
+def spelled(blocks: list[tuple[list[str], pa.Array, list[tuple]]]):
+    """Level by level (langs, lang, phrase, count, hash) of what a group's blocks keep, each phrase once.
+
+    blocks: languages, words and levels as ``Block.kept`` has them."""
+    langs, above = _renumbered([pa.array(langs, pa.string()) for langs, _, _ in blocks])
+    vocab, words_of = _renumbered([vocab for _, vocab, _ in blocks])
+    texts, lang = None, None
+    for k in range(LONGEST):
+        levels = [levels[k] for _, _, levels in blocks]
+        key = np.concatenate([up[parent] << U(32) | of[word] for up, of, (parent, word, _, _) in zip(above, words_of, levels, strict=True)])
+        distinct, node = np.unique(key, return_inverse=True)
+        count, hashes = np.zeros(len(distinct), np.int64), np.empty(len(distinct), U)
+        np.add.at(count, node, np.concatenate([x[2] for x in levels]))
+        hashes[node] = np.concatenate([x[3] for x in levels])
+        above = np.split(node.astype(U), np.cumsum([len(x[0]) for x in levels])[:-1])
+        up, word = (distinct >> U(32)).astype(np.int64), vocab.take(pa.array((distinct & U(0xFFFFFFFF)).astype(np.int64)))
+        if k == 0:
+            texts, lang = word, up
+        else:
+            texts, lang = pc.binary_join_element_wise(texts.take(pa.array(up)), word, pa.scalar(" ", pa.large_string())), lang[up]
+        yield langs, lang, texts, count, hashes
+
+
 def _bounds(counters: np.ndarray, bits: int, parts: int) -> np.ndarray:
     width = (1 << bits) // parts
     return np.searchsorted(counters, np.arange(parts + 1, dtype=np.int64).astype(U) * U(width))
@@ -239,8 +270,11 @@ def merged(partial: DataFrame, width: int, least: int) -> DataFrame:
 
 
 def survivors(blocks: DataFrame, reached: DataFrame, bits: int, parts: int) -> DataFrame:
-    """lang, phrase, words, n: what the sketch lets through, counted in each group."""
-    width = (1 << bits) // parts
+    """lang, phrase, words, lengths, texts, n: what the sketch lets through, counted in each group and spelled once; a row
+    has a group's phrases of one language, length and range of hashes (phrase is the range) in packed lists."""
+    width, ranges = (1 << bits) // parts, max(1, parts // RANGES)
+    names = ["lang", "phrase", "words", "lengths", "texts", "n"]
+    types = [pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got: list[list[np.ndarray]] = [[np.empty(0, U)] for _ in range(ROWS)]
@@ -250,7 +284,7 @@ def survivors(blocks: DataFrame, reached: DataFrame, bits: int, parts: int) -> D
         sieve = np.zeros((ROWS, 1 << 22), bool)  # most counters are told apart by their last bits
         for r in range(ROWS):
             sieve[r, often[r] & U((1 << 22) - 1)] = True
-        out = []
+        held = []
         for k in range(left.num_rows):
             b = Block(left.slice(k, 1).to_pylist()[0])
             alive = np.ones(sum(len(c) for c in b.count), bool)
@@ -259,11 +293,58 @@ def survivors(blocks: DataFrame, reached: DataFrame, bits: int, parts: int) -> D
                 alive &= sieve[r, counters & U((1 << 22) - 1)]
                 at = np.flatnonzero(alive)
                 alive[at] = np.isin(counters[at], often[r])
-            out += [pa.table({"lang": lang, "phrase": text, "words": pa.array(np.full(len(n), k, np.int32)), "n": pa.array(n, pa.int64())}) for lang, text, k, n in b.strings(alive)]
-        added = pa.concat_tables(out).combine_chunks().group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
-        return added.set_column(1, "phrase", added.column("phrase").cast(pa.string()))
+            levels = list(b.kept(alive))
+            used = np.unique(np.concatenate([word for _, word, _, _ in levels]))
+            levels = [(parent, np.searchsorted(used, word), count, hashes) for parent, word, count, hashes in levels]
+            held.append((b.langs, b.vocab.take(pa.array(used)), levels))
+        out = []
+        for size, (langs, lang, texts, count, hashes) in enumerate(spelled(held), 1):
+            cell = lang * ranges + (hashes % U(ranges)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            data, at = _common.utf8_of(texts.take(pa.array(order)))
+            at, cell, count = np.array(at), cell[order], count[order]
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=False):
+                packed = zstandard.ZstdCompressor(level=3).compress(data[at[i] : at[j]])
+                out.append((langs[cell[i] // ranges].as_py(), cell[i] % ranges, size, pack(small(np.diff(at[i : j + 1]))), packed, pack(small(count[i:j]))))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)], names)
+
+    return blocks.groupBy("part_of").cogroup(reached.groupBy("part_of")).applyInArrow(run, "lang string, phrase long, words int, lengths binary, texts binary, n binary")
+
+
+def added_up(found: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, words, a: the phrases of packed lists whose counts reach least in all; lists are added up some at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        total, texts, lengths, counts, size = [], [], [], [], 0
+
+        def settle() -> None:
+            at = np.r_[0, np.cumsum(np.concatenate(lengths), dtype=np.int64)]
+            phrase = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(b"".join(texts)))
+            both = pa.concat_tables([*total, pa.table({"phrase": phrase, "a": pa.array(np.concatenate(counts))})])
+            total[:] = [both.group_by("phrase").aggregate([("a", "sum")]).select(["phrase", "a_sum"]).rename_columns(["phrase", "a"])]
+
+        for row in table.select(["lengths", "texts", "n"]).to_batches(max_chunksize=1):
+            size_of, text, n = (x[0].as_py() for x in row.columns)
+            texts.append(zstandard.ZstdDecompressor().decompress(text))
+            lengths.append(unpack(size_of).astype(np.int64))
+            counts.append(unpack(n).astype(np.int64))
+            size += len(counts[-1])
+            if size >= RANGE:
+                settle()
+                texts, lengths, counts, size = [], [], [], 0
+        if size:
+            settle()
+        often = total[0].filter(pc.field("a") >= least)
+        one = lambda name: pa.array([table.column(name)[0].as_py()] * len(often), table.schema.field(name).type)
+        return pa.table({"lang": one("lang"), "phrase": often.column("phrase").cast(pa.string()), "words": one("words"), "a": often.column("a")})
+
+    return found.groupBy("lang", "words", "phrase").applyInArrow(run, "lang string, phrase string, words int, a long")
+
 
-    return blocks.groupBy("part_of").cogroup(reached.groupBy("part_of")).applyInArrow(run, "lang string, phrase string, words int, n long")
+def width_of(total: int) -> int:
+    """The bits of a counter's number: the power of two nearest to the number of words, about four phrases on each counter."""
+    return max(16, round(math.log2(max(total, 1))))
 
 
 def frequent_phrases(docs: DataFrame, tables: _common.Tables, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -271,12 +352,12 @@ def frequent_phrases(docs: DataFrame, tables: _common.Tables, least: int = LEAST
     blocks = tables.keep(blocks_of(docs))
     counted = tables.keep(blocks.select(F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("lang_words").alias("n")))).groupBy("lang").agg(F.sum("n").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
-    bits = max(16, int(total).bit_length())  # as many counters in a row as words, about four phrases on each
+    bits = width_of(int(total))
     parts = 1 << max(3, (LONGEST * int(total) // RANGE).bit_length())
     parts = min(parts, 1 << (bits - 10))
     reached = merged(partial_sketches(blocks, bits, parts), (1 << bits) // parts, least)
     found = survivors(blocks, reached, bits, parts)
-    return tables.keep(found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= least)), counted
+    return tables.keep(added_up(found, least)), counted
 
 
 def _exact(name: str) -> Column:
