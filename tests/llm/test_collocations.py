@@ -179,3 +179,12 @@ def test_groups_hand_on_lists(spark, monkeypatch, bound):
 
 def test_a_sketch_is_as_wide_as_the_words_are_many():
     assert [m.width_of(n) for n in (0, 1, 1 << 16, 1 << 27, (1 << 27) + (1 << 20), 3 << 26, (1 << 28) - 1)] == [16, 16, 16, 27, 27, 28, 28]
+
+
+def test_nothing_is_frequent(spark):
+    """A group of which the sketch lets nothing through, alone and beside one that keeps some."""
+    few = [(1, "a b c. d", "en", 1, "q", "z")]
+    assert got(m.mine(spark.createDataFrame(few, DOCS))) == set()
+    rows = few + [(k, "x y z", "de", 1, "q", "z") for k in range(40)]
+    found = got(m.mine(spark.createDataFrame(rows[:1], DOCS).coalesce(1).union(spark.createDataFrame(rows[1:], DOCS).coalesce(1))))
+    assert found == plain(rows) and found
