@@ -231,3 +231,17 @@ def test_a_text_longer_than_a_chunk(spark):
     assert {r.doc_id for r in license_scan.scan(df).collect()} == set()
     scored = {r.doc_id: r for r in interpolation.score(df).collect()}
     assert scored[1].n_tokens == 2_500_001 and scored[3].n_tokens == scored[4].n_tokens == 1
+
+
+def test_a_passage_goes_from_400_bytes_on(spark, tmp_path):
+    """Of passages of over 50 words that two documents share, one of 399 bytes stays, one of 400 goes; n_bytes is of the whole text."""
+    rng = random.Random(14)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = [prose(60)[:399], prose(60)[:400], "é" * 10 + prose(60)[:379], "é" * 10 + prose(60)[:380]]
+    assert all(len(s.split()) > 50 for s in shared) and [len(s.encode()) for s in shared] == [399, 400, 399, 400]
+    texts = [f"{prose(20)} {'<(['[k]}{s}{'>)]'[k]} {prose(20)}" for s in shared for k in range(2)]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["op8_suffix_dedup"](spark, str(tmp_path)).collect()
+    left = [t if n // 2 % 2 == 0 else t.replace(shared[n // 2], "") for n, t in enumerate(texts)]
+    want = {(n, len(t.encode()), 400 * (n // 2 % 2), n // 2 % 2, hashlib.sha256(s.encode()).hexdigest()) for n, (t, s) in enumerate(zip(texts, left, strict=True))}
+    assert {tuple(r) for r in got} == want
